@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license_scan, quality_rules, sharding, url_filter
+from . import decontam, license_scan, minhash, quality_clf, quality_rules, sharding, toxicity, url_filter
 from .textops import read
 
 
@@ -24,6 +24,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), need=85)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_clf.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("n_telling")
+
+
 def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), 16)
 
@@ -33,6 +45,9 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_decontamination": op5_decontamination,
+    "op6_minhash": op6_minhash,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op9_toxicity": op9_toxicity,
     "op10_jump_sharding": op10_jump_sharding,
 }
 
