@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license_scan, minhash, quality_clf, quality_rules, sharding, toxicity, url_filter
+from . import decontam, license_scan, lm_score, minhash, quality_clf, quality_rules, sharding, toxicity, url_filter
 from .textops import read
 
 
@@ -32,6 +32,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_clf.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("n_telling")
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_minhash": op6_minhash,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_lm_score": op8_lm_score,
     "op9_toxicity": op9_toxicity,
     "op10_jump_sharding": op10_jump_sharding,
 }
