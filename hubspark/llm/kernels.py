@@ -137,3 +137,33 @@ def distinct_sorted(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
         keep[starts[starts < len(values)]] = True
     kept = np.concatenate(([0], np.cumsum(keep)))
     return values[keep], kept[bounds]
+
+
+class Table:
+    """Sorted 64-bit keys with a start for each leading part, for many lookups."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys.astype(U))
+        self.bits = max(4, min(22, len(keys).bit_length() + 1))
+        top = (self.keys >> U(64 - self.bits)).astype(np.int64)
+        self.starts = np.searchsorted(top, np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.longest = int(np.diff(self.starts).max()) if len(self.keys) else 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 where there is none."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        if not len(self.keys):
+            return out
+        top = (keys >> U(64 - self.bits)).astype(np.int64)
+        at, end = self.starts[top], self.starts[top + 1]
+        rest = np.flatnonzero(at < end)
+        at, end = at[rest].astype(np.int64), end[rest]
+        for _ in range(self.longest):
+            if not len(rest):
+                break
+            same = self.keys[at] == keys[rest]
+            out[rest[same]] = at[same]
+            at += 1
+            more = ~same & (at < end)
+            rest, at, end = rest[more], at[more], end[more]
+        return out

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, U, constants, mix, slices, word_bounds, word_hashes
+from .kernels import LOWER, Table, U, constants, mix, slices, word_bounds, word_hashes
 from .samples import remainder
 
 #: An arc stands for at least this share of the tokens.
@@ -135,36 +135,6 @@ def _unpack(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield done()
 
 
-class Table:
-    """Sorted 64-bit keys with a start for each leading part, for many lookups."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.sort(keys.astype(U))
-        self.bits = max(4, min(22, len(keys).bit_length() + 1))
-        top = (self.keys >> U(64 - self.bits)).astype(np.int64)
-        self.starts = np.searchsorted(top, np.arange((1 << self.bits) + 1)).astype(np.int32)
-        self.longest = int(np.diff(self.starts).max()) if len(self.keys) else 0
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Place of each key, -1 where there is none."""
-        out = np.full(len(keys), -1, dtype=np.int64)
-        if not len(self.keys):
-            return out
-        top = (keys >> U(64 - self.bits)).astype(np.int64)
-        at, end = self.starts[top], self.starts[top + 1]
-        rest = np.flatnonzero(at < end)
-        at, end = at[rest].astype(np.int64), end[rest]
-        for _ in range(self.longest):
-            if not len(rest):
-                break
-            same = self.keys[at] == keys[rest]
-            out[rest[same]] = at[same]
-            at += 1
-            more = ~same & (at < end)
-            rest, at, end = rest[more], at[more], end[more]
-        return out
-
-
 @dataclass
 class Automaton:
     """States, arcs and failure arcs. State 0 is the empty context.
@@ -394,7 +364,7 @@ def _scored(batches: Iterator[pa.RecordBatch], auto: Automaton) -> Iterator[pa.R
             own = [batch.column(0).slice(a, n), batch.column(1).slice(a, n)]
             blank = [pa.nulls(len(first), x.type) for x in own]
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(list(x)) for x in zip(own + [pa.array(x) for x in heads], blank + tails, strict=True)],
+                [pa.concat_arrays(list(x)) for x in zip(own + [pa.array(x, y.type) for x, y in zip(heads, tails, strict=True)], blank + tails, strict=True)],
                 names=["doc_id", "held_out", "row", "key", "many", "known", "fell", "base", "score"],
             )
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license_scan, lm_score, minhash, quality_clf, quality_rules, sharding, toxicity, url_filter
+from . import decontam, license_scan, lm_score, minhash, quality_clf, quality_rules, sentencepiece_scan, sharding, toxicity, url_filter
 from .textops import read
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.encode(read(spark, sf_dir, "documents"), sentencepiece_scan.load())
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"))
 
@@ -45,6 +49,7 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_url_filter": op2_url_filter,
     "op3_license_scan": op3_license_scan,
     "op4_quality_rules": op4_quality_rules,
