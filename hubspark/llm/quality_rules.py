@@ -44,8 +44,8 @@ def _n_repeat_words(h: Column, k: int) -> Column:
     return let(grams(h, k), count)
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """docs' doc_id with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and FEATURES, row by row.
+def statistics(docs: DataFrame, *carried: Column) -> DataFrame:
+    """docs' doc_id (and carried columns) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and FEATURES, row by row.
 
     Words are runs of anything but ASCII white space; a null text is an empty one.
     """
@@ -65,8 +65,10 @@ def statistics(docs: DataFrame) -> DataFrame:
         )
 
     left = lambda pattern: F.length(F.regexp_replace(text, pattern, "")).cast("bigint")
+    names = [f"_carried{i}" for i in range(len(carried))]
     raw = docs.select(
         "doc_id",
+        *[c.alias(n) for c, n in zip(carried, names, strict=True)],
         let(words(F.col("text"), SPACE_WORDS), of_words).alias("w"),
         let(lines, lambda x: F.struct(F.size(x).cast("bigint").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("dup"))).alias("l"),
         F.length(text).cast("bigint").alias("_len"),
@@ -76,7 +78,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         left(r"[0-9]").alias("_digits"),
     )
     base = raw.select(
-        "doc_id", "w.n_words", "w.word_chars", (F.col("_len") - F.col("_symbols")).alias("n_symbols"), F.col("l.dup").alias("n_dup_lines"), "w.n_repeat_words",
+        "doc_id", *names, "w.n_words", "w.word_chars", (F.col("_len") - F.col("_symbols")).alias("n_symbols"), F.col("l.dup").alias("n_dup_lines"), "w.n_repeat_words",
         F.col("w.n_distinct").alias("_distinct"), F.col("l.n").alias("_lines"),
         (F.col("_len") - F.col("_upper")).alias("_upper"), (F.col("_len") - F.col("_marks")).alias("_marks"), (F.col("_len") - F.col("_digits")).alias("_digits"),
     )
@@ -93,7 +95,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         "line_words": F.col("n_words") / F.greatest(F.col("_lines"), F.lit(1)),
     }
     failed = (F.col("n_words") < 20) | (F.lit(100) * F.col("n_repeat_words") > F.lit(30) * F.col("n_words"))
-    return base.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *[rate[f].alias(f) for f in FEATURES])
+    return base.select("doc_id", *names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *[rate[f].alias(f) for f in FEATURES])
 
 
 @dataclass(frozen=True)
@@ -188,6 +190,14 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> l
     return sorted((r.asDict() for r in out.limit(2 * bound).collect()), key=lambda r: (r["doc_id"], *[r[f] for f in FEATURES]))
 
 
+def first_rule(rules: list[Rule]) -> Column:
+    """Number of the first rule that fits, null if none does."""
+    first = F.lit(None).cast("int")
+    for k, rule in reversed(list(enumerate(rules))):
+        first = F.when(rule.column(), F.lit(k)).otherwise(first)
+    return first
+
+
 def judge(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
     """Per row of ``docs``: doc_id, the base columns, base_failed, rule (number of the rule that fits, null if none) and kept.
 
@@ -195,10 +205,7 @@ def judge(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Data
     one by one; extra columns are ignored; without labels all that pass the
     base rules are kept.
     """
-    rules = learn(labelled(docs, labels, bound))
-    first = F.lit(None).cast("int")
-    for k, rule in reversed(list(enumerate(rules))):
-        first = F.when(rule.column(), F.lit(k)).otherwise(first)
+    first = first_rule(learn(labelled(docs, labels, bound)))
     stats = statistics(docs)
     return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(~F.col("base_failed"), first).alias("rule")).select(
         "*", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept")
@@ -206,6 +213,7 @@ def judge(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Data
 
 
 def keep(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps."""
-    bad = judge(docs, labels, bound).where("not kept").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs`` that ``judge`` keeps, judged where they are read."""
+    first = first_rule(learn(labelled(docs, labels, bound)))
+    whole = statistics(docs, F.struct(*[docs[c] for c in docs.columns]))
+    return whole.where(~F.col("base_failed") & first.isNull()).select("_carried0.*")

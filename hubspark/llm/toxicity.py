@@ -323,6 +323,14 @@ def score_texts(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]
     return scores, tells
 
 
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, bound: int = MAX_TRAIN):
+    """The model as a broadcast variable; its size is bounded by the sample's."""
+    sample = labelled_texts(docs, labels, "toxic", folds, held_out, bound)
+    model = train(sample.column("text").combine_chunks(), sample.column("label").to_numpy())
+    model.chars.known.clear()
+    return docs.sparkSession.sparkContext.broadcast(model)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.7, bound: int = MAX_TRAIN) -> DataFrame:
     """Per row: doc_id, held_out, score (0 to 1, higher: toxic likelier), predicted and n_telling (distinct words with evidence).
 
@@ -331,10 +339,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
     are scored and not held out; repeated rows are scored alike, one by one;
     extra columns are ignored; without labels every score is 0.5.
     """
-    sample = labelled_texts(docs, labels, "toxic", folds, held_out, bound)
-    model = train(sample.column("text").combine_chunks(), sample.column("label").to_numpy())
-    model.chars.known.clear()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    shared = fit(docs, labels, folds, held_out, bound)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,7 +351,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out:
     return rows.mapInArrow(scored, f"doc_id {kind}, held_out boolean, score double, predicted int, n_telling int")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic."""
-    bad = score_toxicity(docs, labels, **how).where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **how) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, judged where they are read."""
+    shared = fit(docs, labels, **how)
+    at = docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score, _ = score_texts(batch.column(at), shared.value)
+            yield batch.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(kept, docs.schema)
