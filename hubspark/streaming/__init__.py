@@ -1,0 +1 @@
+"""No operator of this engine is a stream; the package is kept for later sources."""
