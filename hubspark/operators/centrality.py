@@ -65,10 +65,11 @@ def pagerank(graph: Graph, damping: float = 0.85, steps: int = 30) -> DataFrame:
 
 
 def leaderrank(graph: Graph, damping: float = 0.85, steps: int = 50) -> DataFrame:
-    """id, score: PageRank on the graph with a ground node (id 0) joined to every node; the ground node is left out."""
-    ground = graph.nodes.select(F.lit(0).cast("bigint").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
-    nodes = graph.nodes.select("id").unionByName(graph.nodes.sparkSession.range(1))
-    return pagerank(Graph(nodes, graph.edges.select("src", "dst", "w").unionByName(ground)), damping, steps).where("id <> 0")
+    """id, score: PageRank on the graph with a ground node joined to every node; the ground node, of an id below all, is left out."""
+    least = graph.nodes.agg(F.min("id").alias("least")).first()["least"] or 0
+    ground = graph.nodes.select(F.lit(least - 1).cast("bigint").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
+    nodes = graph.nodes.select("id").unionByName(graph.nodes.sparkSession.range(least - 1, least))
+    return pagerank(Graph(nodes, graph.edges.select("src", "dst", "w").unionByName(ground)), damping, steps).where(F.col("id") >= least)
 
 
 def two_core_edges(graph: Graph) -> DataFrame:
