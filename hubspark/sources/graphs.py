@@ -29,9 +29,11 @@ def read_gml(spark: SparkSession, path: str) -> Graph:
     """Nodes (id from 1 in file order, name, truth) and undirected, simplified edges of a GML file."""
     text = spark.read.text(path, wholetext=True)
     blocks = lambda kind: F.regexp_extract_all("value", F.lit(rf"(?s)\b{kind}\s*\[(.*?)\]"), F.lit(1))
-    field = lambda name: F.regexp_extract("b", rf'\b{name}\s+"?([^"\n]*[^"\s])', 1)
-    raw = text.select(F.posexplode(blocks("node")).alias("at", "b")).select((F.col("at") + 1).cast("bigint").alias("id"), field("id").alias("_file"), F.nullif(field("label"), F.lit("")).alias("name"), F.nullif(field("value"), F.lit("")).alias("truth"))
-    ends = text.select(F.explode(blocks("edge")).alias("b")).select(field("source").alias("_s"), field("target").alias("_t"))
+    field = lambda pattern: F.nullif(F.regexp_extract("b", pattern, 1), F.lit(""))
+    raw = text.select(F.posexplode(blocks("node")).alias("at", "b")).select(
+        (F.col("at") + 1).cast("bigint").alias("id"), field(r"\bid\s+(-?\d+)").alias("_file"), field(r'\blabel\s+"([^"]*)"').alias("name"), field(r'\bvalue\s+"?([^"\s]+)').alias("truth")
+    )
+    ends = text.select(F.explode(blocks("edge")).alias("b")).select(field(r"\bsource\s+(-?\d+)").alias("_s"), field(r"\btarget\s+(-?\d+)").alias("_t"))
     a, b = raw.select(F.col("id").alias("src"), F.col("_file").alias("_s")), raw.select(F.col("id").alias("dst"), F.col("_file").alias("_t"))
     return Graph(raw.drop("_file"), canonical(ends.join(a, "_s").join(b, "_t").select("src", "dst"), weighted=False))
 
