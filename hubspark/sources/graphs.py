@@ -44,7 +44,7 @@ def read_edge_list(spark: SparkSession, edges: str, truth: str | None = None, n:
     if truth is None:
         top = n or e.agg(F.max(F.greatest("src", "dst"))).first()[0]
         return Graph(spark.range(1, top + 1), canonical(e, weighted=False))
-    lines = spark.read.text(truth, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("at", "truth"))
+    lines = spark.read.text(truth, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n+$", ""), "\n")).alias("at", "truth"))
     return Graph(lines.select((F.col("at") + 1).cast("bigint").alias("id"), "truth"), canonical(e, weighted=False))
 
 
