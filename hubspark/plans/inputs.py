@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality
-from ..operators.graph import Graph, cooccurrence
+from ..operators.graph import Graph, cooccurrence, cut
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,9 +21,12 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf_dir: str, least: int = 2) -> Graph:
-    """Parts bought in the same order; w counts the orders they share."""
+    """Parts bought in the same order; w counts the orders they share.
+
+    Every score reads the edges several times, so the self-join is run once and its result checkpointed.
+    """
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    return Graph(nodes(spark, sf_dir), cooccurrence(rows, "l_orderkey", "l_partkey", least))
+    return Graph(nodes(spark, sf_dir), cut(cooccurrence(rows, "l_orderkey", "l_partkey", least)))
 
 
 def brands(spark: SparkSession, sf_dir: str) -> DataFrame:

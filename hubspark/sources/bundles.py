@@ -37,6 +37,12 @@ def load(spark: SparkSession, root: str, name: str) -> tuple[DataFrame, dict] |
         return None
 
 
+def datasets(spark: SparkSession, root: str) -> DataFrame:
+    """(dataset, generated_on, network_source) of the bundles under a folder."""
+    lines = spark.read.text(f"{root}/*/meta").where("value <> ''")
+    return lines.select(*[F.get_json_object("value", f"$.{k}").alias(k) for k in ("dataset", "generated_on", "network_source")])
+
+
 MANIFEST = "dataset string, generated_on string, generated_by string, first_release string"
 
 

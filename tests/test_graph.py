@@ -222,6 +222,7 @@ def test_readers(spark, tmp_path):
     bundles.save(spark.range(3), str(tmp_path), meta)
     rows, back = bundles.load(spark, str(tmp_path), "d")
     assert (rows.count(), back) == (3, meta)
+    assert [r["dataset"] for r in bundles.datasets(spark, str(tmp_path)).collect()] == ["d"]
     with pytest.warns(UserWarning, match="no dataset"):
         assert bundles.load(spark, str(tmp_path), "none") is None
     with pytest.raises(ValueError, match="network_source"):
