@@ -12,7 +12,6 @@ that inflected forms share what is known of their stem.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -72,15 +71,13 @@ class CharModel:
     known: dict = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, words: Counter) -> CharModel:
-        """Words weigh by the root of their count, so that rare spellings are not drowned."""
+    def of(cls, codes: np.ndarray, weights: np.ndarray) -> CharModel:
+        """From trigram codes (three code points, 21 bits each) and their weights."""
         m = cls()
-        for w, n in words.items():
-            padded, n = f"^^{w}$", math.sqrt(n)
-            for i in range(2, len(padded)):
-                for order in range(3):
-                    key = padded[i - order : i + 1]
-                    m.grams[order][key] = m.grams[order].get(key, 0.0) + n
+        for code, n in zip(codes.tolist(), weights.tolist(), strict=True):
+            key = "".join(chr(code >> 21 * k & 0x1FFFFF) for k in (2, 1, 0))
+            for order in range(3):
+                m.grams[order][key[2 - order :]] = m.grams[order].get(key[2 - order :], 0.0) + n
         for order in range(3):
             for key, n in m.grams[order].items():
                 c = key[:-1]
@@ -227,50 +224,83 @@ def _words_of(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return data, start, end, np.repeat(np.arange(len(strings)), np.diff(first))
 
 
-def train(texts: pa.Array, label: np.ndarray) -> Model:
-    """Evidence from how many toxic and other documents hold each word; one class only, or no rows: no evidence."""
-    counts: Counter = Counter()
+def trigram_codes(words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigram codes of alphabetic words with stops, and their weights.
+
+    Words weigh by the root of their count, so that rare spellings are not drowned.
+    """
+    use = [k for k, w in enumerate(words) if w.isalpha()]
+    if not use:
+        return np.zeros(0, dtype=np.int64), np.zeros(0)
+    text = np.frombuffer("".join(f"^^{words[k]}$" for k in use).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    length = np.array([len(words[k]) + 3 for k in use])
+    place = np.arange(len(text)) - np.repeat(np.cumsum(length) - length, length)
+    at = np.flatnonzero(place >= 2)
+    codes = (text[at - 2] << 42) | (text[at - 1] << 21) | text[at]
+    ids, back = np.unique(codes, return_inverse=True)
+    return ids, np.bincount(back, weights=np.repeat(np.sqrt(counts[use]), length)[at])
+
+
+def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    ids, back = np.unique(np.concatenate(keys), return_inverse=True)
+    return ids, np.bincount(back, weights=np.concatenate(values), minlength=len(ids))
+
+
+def spelling_of(texts: pa.Array) -> CharModel:
+    """The spelling model of the words of texts, slice by slice."""
+    codes, weights = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
     for _, _, data, bounds in slices(texts):
         data = lower(data)
         start, end, _ = word_bounds(data, bounds, SEPARATOR)
+        _, once, n = np.unique(word_hashes(data, start, end), return_index=True, return_counts=True)
         blob = data.tobytes()
-        counts.update(blob[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True))
-    plain = Counter({w: n for b, n in counts.items() if (w := b.decode("utf-8", "replace")).isalpha()})
-    chars = CharModel.fit(plain)
-    del counts, plain
-
-    seen: list[np.ndarray] = []  # per document and distinct word: document, hashes
-    docs: list[np.ndarray] = []
-    for a, _, data, bounds in slices(texts):
+        k, w = trigram_codes([blob[a:b].decode("utf-8", "replace") for a, b in zip(start[once].tolist(), end[once].tolist(), strict=True)], n)
+        k, w = _summed([codes[-1], k], [weights[-1], w])
+        codes, weights = [k], [w]
+    return CharModel.of(codes[0], weights[0])
+
+
+class Evidence:
+    """Per distinct word: hashes of its beginnings, and how many toxic and other documents hold it."""
+
+    def __init__(self):
+        self.h, self.t, self.c = np.zeros((len(STEMS) + 1, 0), dtype=U), np.zeros(0), np.zeros(0)
+
+    def add(self, h: np.ndarray, toxic: np.ndarray) -> None:
+        """Columns of hashes, one per document and word."""
+        h = np.concatenate((self.h, h), axis=1)
+        _, at, back = np.unique(h[-1], return_index=True, return_inverse=True)
+        self.t = np.bincount(back, weights=np.concatenate((self.t, toxic)), minlength=len(at))
+        self.c = np.bincount(back, weights=np.concatenate((self.c, 1.0 - toxic)), minlength=len(at))
+        self.h = h[:, at]
+
+
+def train(texts: pa.Array, label: np.ndarray) -> Model:
+    """Evidence from how many toxic and other documents hold each word; one class only, or no rows: no evidence."""
+    chars = spelling_of(texts)
+    label = np.asarray(label) == 1
+    seen = Evidence()
+    for a, b, data, bounds in slices(texts):
         data = lower(data)
-        parts = [(data, *word_bounds(data, bounds, SEPARATOR)[:2], None)]
-        start, _, first = word_bounds(data, bounds, SEPARATOR)
-        owner = [np.repeat(np.arange(len(bounds) - 1), np.diff(first))]
+        start, end, first = word_bounds(data, bounds, SEPARATOR)
+        parts, owner = [stem_hashes(data, start, end)], [np.repeat(np.arange(b - a), np.diff(first))]
         found = list(disguised(data, bounds))
         if found:
             d, s, e, who = _words_of([restore(t, chars) for _, t in found])
-            parts.append((d, s, e, None))
-            owner.append(np.array([x for x, _ in found])[who])
-        for (d, s, e, _), o in zip(parts, owner, strict=True):
-            h = np.stack(stem_hashes(d, s, e)) if len(s) else np.zeros((len(STEMS) + 1, 0), dtype=U)
-            once = _first_of(o, h[-1])
-            seen.append(h[:, once])
-            docs.append(o[once] + a)
-    h = np.concatenate(seen, axis=1) if seen else np.zeros((len(STEMS) + 1, 0), dtype=U)
-    doc = np.concatenate(docs) if docs else np.zeros(0, dtype=np.int64)
-    label = np.asarray(label)
-    toxic = label[doc] == 1 if len(doc) else np.zeros(0, dtype=bool)
-    n1 = int((label == 1).sum())
+            if len(s):
+                parts.append(stem_hashes(d, s, e))
+                owner.append(np.array([x for x, _ in found])[who])
+        h, o = np.concatenate([np.stack(p) for p in parts], axis=1), np.concatenate(owner)
+        once = _first_of(o, h[-1])
+        seen.add(h[:, once], label[o[once] + a].astype(float))
+    n1 = int(label.sum())
     n0 = len(label) - n1
     prior = math.log((n1 + 0.5) / (n0 + 0.5))
     keys: dict[int, float] = {}
-    if n1 and n0 and len(doc):
-        _, at, inverse = np.unique(h[-1], return_index=True, return_inverse=True)
-        t = np.bincount(inverse, weights=toxic, minlength=len(at))
-        c = np.bincount(inverse, minlength=len(at)) - t
-        h = h[:, at]
+    h, t, c = seen.h, seen.t, seen.c
+    if n1 and n0 and t.sum() and c.sum():
         base = t.sum() / (t.sum() + c.sum())
-        q, under = np.full(len(at), base), np.zeros(len(at), dtype=bool)
+        q, under = np.full(len(t), base), np.zeros(len(t), dtype=bool)
         odds = lambda p: np.log(p / (1 - p)) - math.log(base / (1 - base))
         for level in h:
             has = level > 0
