@@ -120,7 +120,7 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     for i in brief:
         n = int(counts[text[i]])
         w = words[at[i] : at[i] + n]
-        out[i] = (w * weights[:n]).sum(dtype=U) + U(0x9E3779B97F4A7C15) * U(n)
+        out[i] = np.append(w * weights[:n], U(0x9E3779B97F4A7C15 * n % 2**64)).sum(dtype=U)
     return mix(out), bounds
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, U, _byte_table, _place_table, mix, slices, word_bounds, word_hashes
+from .kernels import LOWER, U, _byte_table, _place_table, mix, shingles, slices, word_bounds, word_hashes
 from .samples import labelled_texts, remainder
 
 #: Labelled rows used for training: the documented bound.
@@ -29,6 +29,8 @@ MAX_TRAIN = 8000
 STEMS = (3, 4, 5, 6, 8)
 #: Weight of the shorter beginning's evidence, least evidence that counts, and what a word without evidence takes off.
 PRIOR, LEAST, PLAIN = 20.0, 1.7, 0.006
+#: Likelihood ratio statistic that a word or beginning must reach to be evidence; among a million words about ten would by chance.
+SURE = 20.0
 
 #: Letters that digits and signs are used for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c"}
@@ -275,10 +277,37 @@ class Evidence:
         self.h = h[:, at]
 
 
+def _likelihood_ratio(a: np.ndarray, b: np.ndarray, base: float) -> np.ndarray:
+    """Twice the log likelihood ratio of a in a + b against the base rate; 0 where it is below that rate."""
+    n = a + b
+    share = a / n
+    high = np.where(a > 0, a * np.log(np.maximum(share, 1e-300) / base), 0.0) + np.where(b > 0, b * np.log(np.maximum(1 - share, 1e-300) / (1 - base)), 0.0)
+    return np.where(share > base, 2 * high, 0.0)
+
+
+def unlike(texts: pa.Array, label: np.ndarray) -> np.ndarray:
+    """Rows without near copies of an earlier row of the same label, whose words would count as evidence many times.
+
+    Texts with the same least hash of three-word runs count as near copies.
+    """
+    least = np.zeros(len(texts), dtype=U)
+    for a, b, data, bounds in slices(texts):
+        data = lower(data)
+        start, end, first = word_bounds(data, bounds, SEPARATOR)
+        values, at = shingles(word_hashes(data, start, end), first, 3)
+        some = np.flatnonzero(np.diff(at))
+        if len(some):
+            least[a + some] = np.minimum.reduceat(values, at[:-1][some])
+    _, rows = np.unique(np.stack((least, label.astype(U))), axis=1, return_index=True)
+    return np.sort(rows)
+
+
 def train(texts: pa.Array, label: np.ndarray) -> Model:
     """Evidence from how many toxic and other documents hold each word; one class only, or no rows: no evidence."""
-    chars = spelling_of(texts)
     label = np.asarray(label) == 1
+    rows = unlike(texts, label)
+    texts, label = texts.take(pa.array(rows)), label[rows]
+    chars = spelling_of(texts)
     seen = Evidence()
     for a, b, data, bounds in slices(texts):
         data = lower(data)
@@ -309,9 +338,11 @@ def train(texts: pa.Array, label: np.ndarray) -> Model:
             b = np.bincount(back, weights=c[has], minlength=len(ids))
             q[has] = (a[back] + PRIOR * q[has]) / (a[back] + b[back] + PRIOR)
             r = odds(q[has])
-            tell = under[has] | (r > LEAST)
-            keys.update(zip(level[has][tell].tolist(), np.where(r > LEAST, r, 0.0)[tell].tolist(), strict=True))
-            under[has] |= r > LEAST
+            sure = _likelihood_ratio(a, b, base)[back] > SURE
+            told = (r > LEAST) & (sure | under[has])
+            tell = under[has] | told
+            keys.update(zip(level[has][tell].tolist(), np.where(told, r, 0.0)[tell].tolist(), strict=True))
+            under[has] |= told
     order = np.array(sorted(keys), dtype=U)
     quick = np.zeros(1 << 18, dtype=bool)
     quick[(order >> U(46)).astype(np.int64)] = True
