@@ -2,24 +2,28 @@
 
 States are the empty context, words and word pairs; an arc (state, word) has
 the discounted probability of that n-gram, a failure arc leads to the state of
-the shorter context with its backoff weight. A text is traversed once from
-left to right: at each word failure arcs are followed until an arc fits.
-
-Counts are exact and cover all training texts. Every word is counted in a
-distributed table. N-grams become arcs when at least one token in 2**19 is
-one; there are at most 2**19 of each length, so the automaton has a proven
-size bound and is broadcast. Words below that share are not in it: they always
-fall to the empty context, and their counts come by a shuffle join on the rows
-of such words alone, so that no frequent word makes a hot key. The empty
-context's distribution is the add-one unigram with one place for all unseen
-words; longer contexts are smoothed towards the shorter one by a Dirichlet
-prior.
+the shorter context with its backoff weight. The empty context's distribution
+is the add-one unigram with one place for all unseen words; longer contexts
+are smoothed towards the shorter one by a Dirichlet prior.
+
+Counts are exact and cover all training texts, and every n-gram that occurs
+twice is an arc, whatever the size of the corpus. Words, arcs and weights are
+distributed tables. The logarithm of a text's probability is a sum over its
+n-grams: with f(c) the log weight of context c (0 if it has no arcs),
+
+    word w: log p(w) + f(w)    pair bw, an arc: log p(w|b) - f(b) - log p(w) + f(bw)
+    triple abw, an arc: log p(w|ab) - f(ab) - log p(w|b)
+
+(f at the place where c is the context; END is none), since a triple's arc
+undoes what its pairs have added. So a text is scored by one lookup of its
+n-grams. The most frequent ones, at most ``1 / HOT`` of each length, are
+broadcast, so that no frequent one makes a hot key; bit maps of a bounded size
+leave out most n-grams that are no arcs; the rest go by shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +33,10 @@ from pyspark.sql import functions as F
 from .kernels import LOWER, Table, U, constants, mix, slices, word_bounds, word_hashes
 from .samples import remainder
 
-#: An arc stands for at least this share of the tokens.
-SHARE = 2.0**-19
+#: N-grams of at least this share of the tokens are looked up without a shuffle.
+HOT = 2.0**-19
+#: Bits in the largest map of arcs. A fuller map lets more n-grams through and changes no result.
+MAP_BITS = 28
 #: Weight of the shorter context, in tokens, for words after a word and after a pair.
 PRIOR = {2: 100.0, 3: 3.0}
 END = U(0x9D39_247E_3377_6D41)
@@ -135,57 +141,6 @@ def _unpack(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield done()
 
 
-@dataclass
-class Automaton:
-    """States, arcs and failure arcs. State 0 is the empty context.
-
-    state_of: table of context keys; state i + 1 is the context at place i.
-    fail, weight: per state. arcs: table of mix(state, word) keys; logp per arc.
-    """
-
-    root: Table
-    root_log: np.ndarray  # log10 of count + 1
-    state_of: Table
-    fail: np.ndarray
-    weight: np.ndarray
-    arcs: Table
-    logp: np.ndarray
-
-    def arc_key(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return mix(word + mix(state.astype(U) + U(0x632BE59BD9B4E019)))
-
-    def traverse(self, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 of arcs and backoff weights, place in ``root`` of each token that fell to the empty context; -2: it did not fall, -1: not in the table).
-
-        The state before a token is the longest known context that ends there.
-        """
-        state = np.zeros(len(tokens), dtype=np.int64)
-        for n in (1, 2):
-            places, keys = ngram_keys(tokens, at, n)
-            inside = places + 1 < len(tokens)
-            places, keys = places[inside], keys[inside]
-            found = self.state_of.find(keys)
-            hit = found >= 0
-            state[places[hit] + 1] = found[hit] + 1
-        state[at[:-1]] = 0
-        logp = np.zeros(len(tokens))
-        fell = np.full(len(tokens), -2, dtype=np.int64)
-        todo = np.arange(len(tokens))
-        while len(todo):
-            s = state[todo]
-            bottom = s == 0
-            low = todo[bottom]
-            fell[low] = self.root.find(tokens[low])
-            todo, s = todo[~bottom], s[~bottom]
-            arc = self.arcs.find(self.arc_key(s, tokens[todo]))
-            hit = arc >= 0
-            logp[todo[hit]] += self.logp[arc[hit]]
-            todo, s = todo[~hit], s[~hit]
-            logp[todo] += self.weight[s]
-            state[todo] = self.fail[s]
-        return logp, fell
-
-
 def _each(batches, column=0):
     for batch in batches:
         yield from slices(batch.column(column))
@@ -201,38 +156,97 @@ def _count_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
     yield _pack(1, *words.merge(), bits)
 
 
-def _count_ngrams(batches: Iterator[pa.RecordBatch], n: int, inner: Table, bits: int) -> Iterator[pa.RecordBatch]:
-    """n-grams whose two (n-1)-grams are both in ``inner``: no other can be as frequent as those."""
-    tally = Tally()
-    for _, _, data, bounds in _each(batches):
-        tokens, at = token_hashes(LOWER[data], bounds)
-        places, keys = ngram_keys(tokens, at, n)
-        shorter = np.zeros(len(tokens), dtype=bool)
-        p, k = ngram_keys(tokens, at, n - 1)
-        shorter[p] = inner.find(k) >= 0
-        keep = shorter[places] & shorter[places - 1]
-        tally.add(keys[keep])
-        if tally.full():
-            yield _pack(n, *tally.merge(), bits)
-            tally.clear()
-    yield _pack(n, *tally.merge(), bits)
-
-
-def _named(batches: Iterator[pa.RecordBatch], n: int, wanted: Table) -> Iterator[pa.RecordBatch]:
-    """The tokens of each wanted n-gram, once per task: key, a, b, c."""
-    left = np.ones(len(wanted.keys), dtype=bool)
+class Sieve:
+    """Bit map over the leading bits of keys."""
+
+    def __init__(self, bits: int):
+        self.bits, self.map = bits, np.zeros(1 << (bits - 3), dtype=np.uint8)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> U(64 - self.bits)
+        return (self.map[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def _marked(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows with a key -> the bytes of the map that are not 0."""
+    for batch in batches:
+        at = np.unique(batch.column(0).to_numpy().view(U) >> U(64 - bits)).astype(np.int64)
+        place, start = np.unique(at >> 3, return_index=True)
+        if len(place):
+            value = np.bitwise_or.reduceat((1 << (at & 7)).astype(np.uint8), start)
+            yield pa.RecordBatch.from_arrays([pa.array([place.astype(np.uint32).tobytes()], pa.binary()), pa.array([value.tobytes()], pa.binary())], names=["place", "value"])
+
+
+def sieve(table: DataFrame, kinds: int) -> Sieve:
+    out = Sieve(min(MAP_BITS, max(10, kinds.bit_length() + 4)))
+    bits = out.bits
+    marks = table.select("key").mapInArrow(lambda it: _marked(it, bits), "place binary, value binary")
+    for row in marks.toLocalIterator():
+        at = np.frombuffer(row["place"], dtype=np.uint32)
+        out.map[at] |= np.frombuffer(row["value"], dtype=np.uint8)
+    return out
+
+
+def sides(tokens: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of last tokens, keys of the first n-1 tokens, keys of the last n-1) of the n-grams inside texts."""
+    places, _ = ngram_keys(tokens, at, n)
+    short = np.zeros(len(tokens), dtype=U)
+    p, k = ngram_keys(tokens, at, n - 1)
+    short[p] = k
+    return places, short[places - 1], short[places]
+
+
+def _pack_arcs(parts: list, bits: int) -> Iterator[pa.RecordBatch]:
+    """Distinct n-grams with counts, one row per bucket of keys."""
+    if not parts:
+        return
+    left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+    keys, first, counts = np.unique(_pair(left, right), return_index=True, return_counts=True)
+    if not len(keys):
+        return
+    bucket = (keys >> U(64 - bits)).astype(np.int64)
+    heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    spans = list(zip(heads.tolist(), [*heads[1:].tolist(), len(keys)], strict=True))
+    columns = [left[first], right[first], counts.astype(np.uint32)]
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[heads]), *[pa.array([c[a:b].tobytes() for a, b in spans], pa.binary()) for c in columns]], names=["bucket", "ls", "rs", "ns"])
+
+
+def _count_arcs(batches: Iterator[pa.RecordBatch], n: int, inner: Sieve, bits: int) -> Iterator[pa.RecordBatch]:
+    """n-grams whose two (n-1)-grams may be frequent enough: no other can be as frequent as those."""
+    parts, size = [], 0
     for _, _, data, bounds in _each(batches):
         tokens, at = token_hashes(LOWER[data], bounds)
-        places, keys = ngram_keys(tokens, at, n)
-        found = wanted.find(keys)
-        new = np.flatnonzero(found >= 0)
-        new = new[left[found[new]]]
-        ids, first = np.unique(found[new], return_index=True)
-        left[ids] = False
-        if len(ids):
-            last = places[new[first]]
-            parts = [tokens[last - (n - 1 - j)].view(np.int64) for j in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(wanted.keys[ids].view(np.int64)), *[pa.array(x) for x in parts]], names=["key", "a", "b", "c"][: n + 1])
+        _, left, right = sides(tokens, at, n)
+        keep = inner.has(left) & inner.has(right)
+        parts.append((left[keep], right[keep]))
+        size += int(keep.sum())
+        if size > 1 << 22:
+            yield from _pack_arcs(parts, bits)
+            parts, size = [], 0
+    yield from _pack_arcs(parts, bits)
+
+
+def _unpack_arcs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order of bucket -> key, l, r, n with n at least ``least``."""
+    at, parts = None, []
+
+    def done():
+        left, right = (np.concatenate([np.frombuffer(p[i], dtype=U) for p in parts]) for i in (0, 1))
+        counts = np.concatenate([np.frombuffer(p[2], dtype=np.uint32) for p in parts])
+        keys, first, place = np.unique(_pair(left, right), return_index=True, return_inverse=True)
+        n = np.bincount(place, weights=counts, minlength=len(keys)).astype(np.int64)
+        keep = n >= least
+        return pa.RecordBatch.from_arrays([*[pa.array(x[keep].view(np.int64)) for x in (keys, left[first], right[first])], pa.array(n[keep])], names=["key", "l", "r", "n"])
+
+    for batch in batches:
+        for bucket, *rest in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if bucket != at:
+                if parts:
+                    yield done()
+                at, parts = bucket, []
+            parts.append(rest)
+    if parts:
+        yield done()
 
 
 def _counted(rows: DataFrame, least: int) -> DataFrame:
@@ -243,8 +257,24 @@ def _counted(rows: DataFrame, least: int) -> DataFrame:
 _PACKED = "kind int, bucket bigint, ks binary, ns binary"
 
 
-def train(texts: DataFrame, share: float = SHARE, order: int = 3):
-    """(automaton, table (key, n) of all words' counts, tokens N, kinds V) from a table with a text column."""
+def _weights(arcs: DataFrame) -> DataFrame:
+    """What the arcs of a context leave, so that its probabilities sum to one: c, f."""
+    left = [F.greatest(1 - F.sum(x), F.lit(1e-12)) for x in ("p", "below")]
+    return arcs.groupBy(F.col("l").alias("c")).agg(F.log10(left[0] / left[1]).alias("f"))
+
+
+def _arcs(counted: DataFrame, contexts: DataFrame, ends: DataFrame, prior: float) -> DataFrame:
+    """Counted n-grams with p, below and delta; contexts are (c, total), ends are (e, below)."""
+    rows = counted.join(contexts, F.col("l") == F.col("c")).drop("c").join(ends, F.col("r") == F.col("e")).drop("e")
+    rows = rows.withColumn("p", (F.col("n") + prior * F.col("below")) / (F.col("total") + prior))
+    return rows.join(_weights(rows), F.col("l") == F.col("c")).withColumn("delta", F.log10("p") - F.col("f") - F.log10("below"))
+
+
+def train(texts: DataFrame, share: float = 0.0, order: int = 3):
+    """(table of values, list of a sieve per length from 2 on, tokens N, kinds V) from a table with a text column.
+
+    The table has kind (length), key, n, base (log10 of a word's count + 1, else 0) and delta.
+    """
     from .textops import cut
 
     spark = texts.sparkSession
@@ -255,149 +285,146 @@ def train(texts: DataFrame, share: float = SHARE, order: int = 3):
     n_tokens, n_kinds = int(total["n"]), int(total["v"])
     least = max(2, int(np.ceil(share * n_tokens)))
 
-    def fetch(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        t = df.select("key", "n").toArrow()  # at most 1 / share rows
-        keys, n = t.column("key").to_numpy().view(U), t.column("n").to_numpy()
-        o = np.argsort(keys)
-        return keys[o], n[o].astype(np.float64)
-
-    keys, counts = {}, {}
-    keys[1], counts[1] = fetch(words.where(F.col("n") >= least))
-    grams = {}
-    for n in range(2, order + 1):
-        inner = spark.sparkContext.broadcast(Table(keys[n - 1]))
-        rows = texts.mapInArrow(lambda it, n=n, inner=inner: _count_ngrams(it, n, inner.value, bits), _PACKED)
-        keys[n], counts[n] = fetch(_counted(rows, least))
-        wanted = spark.sparkContext.broadcast(Table(keys[n]))
-        names = ["a", "b", "c"][:n]
-        named = texts.mapInArrow(lambda it, n=n, wanted=wanted: _named(it, n, wanted.value), "key bigint, " + ", ".join(f"{x} bigint" for x in names))
-        t = named.groupBy("key").agg(*[F.first(x).alias(x) for x in names]).toArrow()  # at most 1 / share rows
-        o = np.argsort(t.column("key").to_numpy().view(U))
-        grams[n] = [t.column(x).to_numpy().view(U)[o] for x in names]
-    return build(keys, counts, grams, n_tokens, n_kinds), words, n_tokens, n_kinds
-
-
-def build(keys: dict, counts: dict, grams: dict, n_tokens: int, n_kinds: int) -> Automaton:
-    """Smoothed arcs; the weight of a failure arc is what they leave, so that each state's probabilities sum to one."""
-    root = Table(keys[1])
-    uni = (counts[1] + 1) / (n_tokens + n_kinds + 1)
-    context_keys = [keys[1], keys[2] if 2 in keys else np.zeros(0, dtype=U)]
-    context_counts = [counts[1], counts.get(2, np.zeros(0))]
-    has = [np.zeros(len(k), dtype=bool) for k in context_keys]
-    for n in grams:
-        ctx = grams[n][0] if n == 2 else _pair(grams[n][0], grams[n][1])
-        has[n - 2][np.searchsorted(context_keys[n - 2], ctx)] = True
-    state_keys = np.concatenate([k[h] for k, h in zip(context_keys, has, strict=True)])
-    state_counts = np.concatenate([c[h] for c, h in zip(context_counts, has, strict=True)])
-    order = np.argsort(state_keys)
-    state_keys, state_counts = state_keys[order], state_counts[order]
-    states = Table(state_keys)
-    fail, weight = np.zeros(len(state_keys) + 1, dtype=np.int64), np.zeros(len(state_keys) + 1)
-    auto = Automaton(root, np.log10(counts[1] + 1), states, fail, weight, Table(np.zeros(0, dtype=U)), np.zeros(0))
-    arc_keys, arc_logp = [], []
-    lower = np.zeros(0)  # probability of each pair's second word after its first
-    for n in sorted(grams):
-        parts, c = grams[n], counts[n]
-        ctx = parts[0] if n == 2 else _pair(parts[0], parts[1])
-        s = states.find(ctx) + 1
-        if n == 2:
-            below = uni[root.find(parts[1])]
-        else:
-            below = lower[np.searchsorted(keys[2], _pair(parts[1], parts[2]))]
-            fail[s] = states.find(parts[1]) + 1
-        total = state_counts[s - 1]
-        p = (c + PRIOR[n] * below) / (total + PRIOR[n])
-        if n == 2:
-            lower = p
-        used, back = np.bincount(s, weights=p, minlength=len(fail)), np.bincount(s, weights=below, minlength=len(fail))
-        mine = np.unique(s)
-        weight[mine] = np.log10(np.maximum(1 - used[mine], 1e-12) / np.maximum(1 - back[mine], 1e-12))
-        arc_keys.append(auto.arc_key(s, parts[-1]))
-        arc_logp.append(np.log10(p))
-    if arc_keys:
-        k, v = np.concatenate(arc_keys), np.concatenate(arc_logp)
-        o = np.argsort(k)
-        auto.arcs, auto.logp = Table(k), v[o]
-    return auto
+    def counted(n: int, inner: Sieve) -> DataFrame:
+        shared = spark.sparkContext.broadcast(inner)
+        rows = texts.mapInArrow(lambda it: _count_arcs(it, n, shared.value, bits), "bucket bigint, ls binary, rs binary, ns binary")
+        dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
+        return cut(dealt.mapInArrow(lambda it: _unpack_arcs(it, least), "key bigint, l bigint, r bigint, n bigint"))
+
+    often = words.where(F.col("n") >= least)
+    pairs = counted(2, sieve(often, n_kinds))
+    sieves = [sieve(pairs, pairs.count())]
+    uni = (F.col("n") + 1) / float(n_tokens + n_kinds + 1)
+    twos = cut(_arcs(pairs, often.select(F.col("key").alias("c"), F.col("n").alias("total")), often.select(F.col("key").alias("e"), uni.alias("below")), PRIOR[2]).select("key", "l", "n", "p", "f", "delta"))
+    weights = {1: twos.groupBy("l").agg(F.first("f").alias("f")).withColumnRenamed("l", "c")}
+    values = [words.select(F.lit(1).alias("kind"), "key", "n", F.log10(F.col("n") + 1.0).alias("base"), F.lit(0.0).alias("delta"))]
+    values.append(twos.select(F.lit(2).alias("kind"), "key", "n", F.lit(0.0).alias("base"), "delta"))
+    if order > 2:
+        triples = counted(3, sieves[0])
+        sieves.append(sieve(triples, triples.count()))
+        threes = cut(_arcs(triples, twos.select(F.col("key").alias("c"), F.col("n").alias("total")), twos.select(F.col("key").alias("e"), F.col("p").alias("below")), PRIOR[3]).select("key", "l", "n", "f", "delta"))
+        weights[2] = threes.groupBy("l").agg(F.first("f").alias("f")).withColumnRenamed("l", "c")
+        values.append(threes.select(F.lit(3).alias("kind"), "key", "n", F.lit(0.0).alias("base"), "delta"))
+    for n, f in weights.items():
+        v = values[n - 1]
+        values[n - 1] = v.join(f, F.col("key") == F.col("c"), "left").withColumn("delta", F.col("delta") + F.coalesce("f", F.lit(0.0))).select(*v.columns)
+    table = values[0]
+    for v in values[1:]:
+        table = table.unionAll(v)
+    return cut(table), sieves, n_tokens, n_kinds
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _MIX2[0] + b * _MIX2[1])
 
 
-def _scored(batches: Iterator[pa.RecordBatch], auto: Automaton) -> Iterator[pa.RecordBatch]:
-    """A row of sums per text, and one per kind of word of it that is not in the automaton."""
+class Values:
+    """Values of keys: base and delta."""
+
+    def __init__(self, key: np.ndarray, base: np.ndarray, delta: np.ndarray):
+        o = np.argsort(key)
+        self.table, self.base, self.delta = Table(key), base[o], delta[o]
+
+    def sums(self, keys: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(was each key found, sums per text of base and delta)."""
+        at = self.table.find(keys)
+        hit = at >= 0
+        return hit, [np.bincount(text[hit], weights=v[at[hit]], minlength=n) for v in (self.base, self.delta)]
+
+
+_PARTS = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "delta", "bucket", "keys", "rows"]
+
+
+def _requests(batches: Iterator[pa.RecordBatch], hot: dict[int, Values], sieves: list[Sieve], bits: int) -> Iterator[pa.RecordBatch]:
+    """A row of sums per text, and rows of what was not found, one per bucket of keys."""
     from pyspark import TaskContext
 
     context = TaskContext.get()
     row = (context.partitionId() if context else 0) << 40
     for batch in batches:
+        kinds = batch.schema.types[:2]
         for a, b, data, bounds in slices(batch.column(2)):
             tokens, at = token_hashes(LOWER[data], bounds)
-            logp, fell = auto.traverse(tokens, at)
             n = b - a
             text = np.repeat(np.arange(n), np.diff(at))
-            # the base needs the count of each token; words of arcs are all in the table of the empty context
-            place = np.where(fell == -2, auto.root.find(tokens), fell)
-            known, low = place >= 0, fell >= 0
-            logp[low] += auto.root_log[fell[low]]
+            known, base, delta, open_keys, open_texts = 0, np.zeros(n), np.zeros(n), [], []
+            for k in range(1, len(sieves) + 2):
+                if k == 1:
+                    places, keys = np.arange(len(tokens)), tokens
+                else:
+                    places, left, right = sides(tokens, at, k)
+                    keys = _pair(left, right)
+                hit, (more, change) = hot[k].sums(keys, text[places], n)
+                base, delta = base + more, delta + change
+                if k == 1:
+                    known = np.bincount(text[hit], minlength=n)
+                rest = ~hit if k == 1 else ~hit & sieves[k - 2].has(keys)
+                open_keys.append(keys[rest])
+                open_texts.append(text[places[rest]])
             ids = row + np.arange(n)
             row += n
-            heads = [
-                ids, mix(ids.astype(U)).view(np.int64), np.diff(at),
-                np.bincount(text[known], minlength=n),
-                np.bincount(text[fell > -2], minlength=n),
-                np.bincount(text[known], weights=auto.root_log[place[known]], minlength=n),
-                np.bincount(text, weights=logp, minlength=n),
-            ]
-            # equal words of a text share a row
-            rest = np.flatnonzero(~known)
-            h, t = tokens[rest], text[rest]
-            o = np.lexsort((h, t))
-            h, t = h[o], t[o]
-            new = np.ones(len(o), dtype=bool)
-            new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-            first = np.flatnonzero(new)
-            many = np.diff(np.concatenate((first, [len(o)])))
-            none = pa.nulls(len(first), pa.int64())
-            tails = [pa.array(ids[t[first]]), pa.array(h[first].view(np.int64)), pa.array(many), none, none, none.cast(pa.float64()), none.cast(pa.float64())]
-            own = [batch.column(0).slice(a, n), batch.column(1).slice(a, n)]
-            blank = [pa.nulls(len(first), x.type) for x in own]
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(list(x)) for x in zip(own + [pa.array(x, y.type) for x, y in zip(heads, tails, strict=True)], blank + tails, strict=True)],
-                names=["doc_id", "held_out", "row", "key", "many", "known", "fell", "base", "score"],
-            )
-
-
-def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, share: float = SHARE, order: int = 3) -> DataFrame:
+            none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
+            sums = [pa.array(np.diff(at)), pa.array(known), pa.array(base), pa.array(delta)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0).slice(a, n), batch.column(1).slice(a, n), *sums, *none], names=_PARTS)
+            keys, rows = np.concatenate(open_keys), ids[np.concatenate(open_texts)]
+            bucket = (keys >> U(64 - bits)).astype(np.int64)
+            o = np.argsort(bucket, kind="stable")
+            keys, rows, bucket = keys[o], rows[o], bucket[o]
+            heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
+            spans = list(zip(heads.tolist(), [*heads[1:].tolist(), len(keys)][: len(heads)], strict=True))
+            m = len(heads)
+            blank = [pa.nulls(m, t) for t in (pa.int64(), *kinds, pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            packed = [pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (keys, rows)]
+            yield pa.RecordBatch.from_arrays([*blank, pa.array(bucket[heads]), *packed], names=_PARTS)
+
+
+def _answers(asked: pa.Table, values: pa.Table) -> pa.Table:
+    """Sums per text of what one bucket's requests find in its values."""
+    found = Values(values.column("key").to_numpy().view(U), values.column("base").to_numpy(), values.column("delta").to_numpy())
+    word = (values.column("kind").to_numpy() == 1)[np.argsort(values.column("key").to_numpy().view(U))]
+    keys = np.concatenate([np.zeros(0, dtype=U), *[np.frombuffer(x, dtype=U) for x in asked.column("keys").to_pylist()]])
+    rows = np.concatenate([np.zeros(0, dtype=np.int64), *[np.frombuffer(x, dtype=np.int64) for x in asked.column("rows").to_pylist()]])
+    at = found.table.find(keys)
+    hit = at >= 0
+    ids, text = np.unique(rows[hit], return_inverse=True)
+    at = at[hit]
+    n = [np.bincount(text, weights=x, minlength=len(ids)) for x in (word[at], found.base[at], found.delta[at])]
+    return pa.table({"row": pa.array(ids), "n_known": pa.array(n[0].astype(np.int64)), "base": pa.array(n[1].astype(float)), "delta": pa.array(n[2].astype(float))})
+
+
+def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, share: float = 0.0, order: int = 3, hot: float = HOT) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Trained on the rows outside the held-out fold (a row without doc_id is one
     of them); a null text is empty and has only the end token; repeated rows
     are counted and scored one by one; extra columns are ignored. Without
-    training texts nothing is known and both scores are 0.
+    training texts nothing is known and both scores are 0. N-grams are arcs
+    from two occurrences on, or from ``share`` of the tokens if that is more.
     """
+    from .textops import cut
+
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(remainder("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "text")
-    auto, words, n, v = train(rows.where("not held_out"), share, order)
-    shared = spark.sparkContext.broadcast(auto)  # at most `order` / share arcs
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = rows.mapInArrow(lambda it: _scored(it, shared.value), f"doc_id {kind}, held_out boolean, row bigint, key bigint, many bigint, known bigint, fell bigint, base double, score double")
-    counts = words.select(F.col("key").alias("_k"), F.col("n").alias("c"))
-    joined = parts.join(counts, F.col("key") == F.col("_k"), "left")
-    head, count = F.col("known").isNotNull(), F.coalesce("c", F.lit(0))
-    rare = F.col("many") * F.log10(count + 1.0)
-    summed = joined.groupBy("row").agg(
-        F.first("doc_id", ignorenulls=True).alias("doc_id"),
-        F.first("held_out", ignorenulls=True).alias("held_out"),
-        F.sum(F.when(head, F.col("many"))).alias("n_tokens"),
-        F.sum(F.when(head, F.col("known")).when(count > 0, F.col("many")).otherwise(0)).alias("n_known"),
-        F.sum("fell").alias("fell"),
-        F.sum(F.when(head, F.col("base")).otherwise(rare)).alias("base"),
-        F.sum(F.when(head, F.col("score")).otherwise(rare)).alias("score"),
-    )
-    per_token = float(np.log10(n + v + 1))
+    table, sieves, n, v = train(rows.where("not held_out"), share, order)
+    top = F.col("n") >= max(2, int(np.ceil(hot * n)))
+    t = table.where(top).select("kind", "key", "base", "delta").toArrow()  # at most `order` / hot rows
+    kind, key, base, delta = (t.column(i).to_numpy() for i in range(4))
+    shared = spark.sparkContext.broadcast(({k: Values(key[kind == k].view(U), base[kind == k], delta[kind == k]) for k in range(1, order + 1)}, sieves))
+    bits = int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"row bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, delta double, bucket bigint, keys binary, rows binary"
+    parts = cut(rows.mapInArrow(lambda it: _requests(it, *shared.value, bits), schema))
+    asked = parts.where("bucket is not null").select("bucket", "keys", "rows").groupBy("bucket")
+    rest = table.where(~top).select(F.shiftrightunsigned("key", 64 - bits).alias("bucket"), "kind", "key", "base", "delta").groupBy("bucket")
+    answers = asked.cogroup(rest).applyInArrow(_answers, "row bigint, n_known bigint, base double, delta double")
+    heads = parts.where("bucket is null").drop("bucket", "keys", "rows")
+    blank = [F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("bigint").alias("n_tokens")]
+    summed = heads.unionAll(answers.select("row", *blank, "n_known", "base", "delta")).groupBy("row").agg(
+        F.first("doc_id", ignorenulls=True).alias("doc_id"), F.first("held_out", ignorenulls=True).alias("held_out"),
+        *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "delta")],
+    )
+    per_token = F.col("n_tokens") * float(np.log10(n + v + 1))
     return summed.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * per_token).alias("base_score"), (F.col("score") - F.col("fell") * per_token).alias("score"),
+        (F.col("base") - per_token).alias("base_score"), (F.col("base") + F.col("delta") - per_token).alias("score"),
     )

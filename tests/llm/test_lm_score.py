@@ -101,3 +101,17 @@ def test_table():
     want = {k: i for i, k in enumerate(keys.tolist())}
     assert t.find(probe).tolist() == [want.get(k, -1) for k in probe.tolist()]
     assert lm_score.Table(np.zeros(0, dtype=U)).find(probe).max() == -1
+
+
+@pytest.mark.parametrize("hot", [2.0**-19, 0.01, 0.2])
+def test_an_ngram_seen_twice_is_an_arc_at_any_size(spark, hot):
+    """A large corpus moves no cut-off: its other tokens change a repeated pair's score only through the smoothing."""
+    rows = [*made(), *[(1000 + i, " ".join(f"x{i * 700 + k}" for k in range(700))) for i in range(1600)]]
+    assert math.ceil(2.0**-19 * sum(len(tokens(t)) for i, t in rows if not held(i))) > 1
+    rows += [(9000, "alpha beta gamma"), (9002, "alpha beta gamma"), (9004, "alpha beta gamma")]
+    want, *_ = reference(rows, 0.0)
+    got = lm_score.score_texts(spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], DOCS), hot=hot).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
+    order = lambda r: (str(r[0]), r[2], r[6])
+    for a, b in zip(sorted(map(tuple, got), key=order), sorted(want, key=order), strict=True):
+        assert a[:5] == b[:5]
+        assert a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
