@@ -23,6 +23,7 @@ leave out most n-grams that are no arcs; the rest go by shuffle.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -270,17 +271,24 @@ def _arcs(counted: DataFrame, contexts: DataFrame, ends: DataFrame, prior: float
     return rows.join(_weights(rows), F.col("l") == F.col("c")).withColumn("delta", F.log10("p") - F.col("f") - F.log10("below"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint; the shuffles of steps that are done leave the disk before."""
+    from .textops import cut
+
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return cut(df)
+
+
 def train(texts: DataFrame, share: float = 0.0, order: int = 3):
     """(table of values, list of a sieve per length from 2 on, tokens N, kinds V) from a table with a text column.
 
     The table has kind (length), key, n, base (log10 of a word's count + 1, else 0) and delta.
     """
-    from .textops import cut
-
     spark = texts.sparkSession
     bits = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() + 3)
     texts = texts.select("text")
-    words = cut(_counted(texts.mapInArrow(lambda it: _count_words(it, bits), _PACKED), 1).select("key", "n"))
+    words = _cut(_counted(texts.mapInArrow(lambda it: _count_words(it, bits), _PACKED), 1).select("key", "n"))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_tokens, n_kinds = int(total["n"]), int(total["v"])
     least = max(2, int(np.ceil(share * n_tokens)))
@@ -289,20 +297,22 @@ def train(texts: DataFrame, share: float = 0.0, order: int = 3):
         shared = spark.sparkContext.broadcast(inner)
         rows = texts.mapInArrow(lambda it: _count_arcs(it, n, shared.value, bits), "bucket bigint, ls binary, rs binary, ns binary")
         dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
-        return cut(dealt.mapInArrow(lambda it: _unpack_arcs(it, least), "key bigint, l bigint, r bigint, n bigint"))
+        return _cut(dealt.mapInArrow(lambda it: _unpack_arcs(it, least), "key bigint, l bigint, r bigint, n bigint"))
 
     often = words.where(F.col("n") >= least)
     pairs = counted(2, sieve(often, n_kinds))
     sieves = [sieve(pairs, pairs.count())]
     uni = (F.col("n") + 1) / float(n_tokens + n_kinds + 1)
-    twos = cut(_arcs(pairs, often.select(F.col("key").alias("c"), F.col("n").alias("total")), often.select(F.col("key").alias("e"), uni.alias("below")), PRIOR[2]).select("key", "l", "n", "p", "f", "delta"))
+    twos = _cut(_arcs(pairs, often.select(F.col("key").alias("c"), F.col("n").alias("total")), often.select(F.col("key").alias("e"), uni.alias("below")), PRIOR[2]).select("key", "l", "n", "p", "f", "delta"))
+    del pairs
     weights = {1: twos.groupBy("l").agg(F.first("f").alias("f")).withColumnRenamed("l", "c")}
     values = [words.select(F.lit(1).alias("kind"), "key", "n", F.log10(F.col("n") + 1.0).alias("base"), F.lit(0.0).alias("delta"))]
     values.append(twos.select(F.lit(2).alias("kind"), "key", "n", F.lit(0.0).alias("base"), "delta"))
     if order > 2:
         triples = counted(3, sieves[0])
         sieves.append(sieve(triples, triples.count()))
-        threes = cut(_arcs(triples, twos.select(F.col("key").alias("c"), F.col("n").alias("total")), twos.select(F.col("key").alias("e"), F.col("p").alias("below")), PRIOR[3]).select("key", "l", "n", "f", "delta"))
+        threes = _cut(_arcs(triples, twos.select(F.col("key").alias("c"), F.col("n").alias("total")), twos.select(F.col("key").alias("e"), F.col("p").alias("below")), PRIOR[3]).select("key", "l", "n", "f", "delta"))
+        del triples
         weights[2] = threes.groupBy("l").agg(F.first("f").alias("f")).withColumnRenamed("l", "c")
         values.append(threes.select(F.lit(3).alias("kind"), "key", "n", F.lit(0.0).alias("base"), "delta"))
     for n, f in weights.items():
@@ -311,7 +321,7 @@ def train(texts: DataFrame, share: float = 0.0, order: int = 3):
     table = values[0]
     for v in values[1:]:
         table = table.unionAll(v)
-    return cut(table), sieves, n_tokens, n_kinds
+    return _cut(table), sieves, n_tokens, n_kinds
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -401,8 +411,6 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, share: float
     training texts nothing is known and both scores are 0. N-grams are arcs
     from two occurrences on, or from ``share`` of the tokens if that is more.
     """
-    from .textops import cut
-
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(remainder("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "text")
     table, sieves, n, v = train(rows.where("not held_out"), share, order)
@@ -413,7 +421,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, share: float
     bits = int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"row bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, delta double, bucket bigint, keys binary, rows binary"
-    parts = cut(rows.mapInArrow(lambda it: _requests(it, *shared.value, bits), schema))
+    parts = _cut(rows.mapInArrow(lambda it: _requests(it, *shared.value, bits), schema))
     asked = parts.where("bucket is not null").select("bucket", "keys", "rows").groupBy("bucket")
     rest = table.where(~top).select(F.shiftrightunsigned("key", 64 - bits).alias("bucket"), "kind", "key", "base", "delta").groupBy("bucket")
     answers = asked.cogroup(rest).applyInArrow(_answers, "row bigint, n_known bigint, base double, delta double")
