@@ -262,6 +262,34 @@ def spelling_of(texts: pa.Array) -> CharModel:
     return CharModel.of(codes[0], weights[0])
 
 
+def _plain_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct alphabetic words of each slice with their counts."""
+    for batch in batches:
+        for _, _, data, bounds in slices(batch.column(0)):
+            data = lower(data)
+            start, end, _ = word_bounds(data, bounds, SEPARATOR)
+            _, once, n = np.unique(word_hashes(data, start, end), return_index=True, return_counts=True)
+            blob = data.tobytes()
+            words = [blob[a:b].decode("utf-8", "replace") for a, b in zip(start[once].tolist(), end[once].tolist(), strict=True)]
+            use = np.array([w.isalpha() for w in words], dtype=bool)
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, u in zip(words, use.tolist(), strict=True) if u], pa.string()), pa.array(n[use].astype(np.int64))], names=["word", "n"])
+
+
+def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trigram codes of words; weights in 1024ths, as integers, so that sums do not depend on the order."""
+    for batch in batches:
+        n = batch.column(1).to_numpy()
+        codes, weights = trigram_codes(batch.column(0).to_pylist(), np.round(1024 * np.sqrt(n)) ** 2)
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(np.round(weights).astype(np.int64))], names=["code", "weight"])
+
+
+def corpus_spelling(docs: DataFrame) -> CharModel:
+    """The spelling model of all distinct words of all documents; no label is needed. Only trigrams reach the driver."""
+    words = docs.select("text").mapInArrow(_plain_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    t = words.mapInArrow(_trigrams, "code bigint, weight bigint").groupBy("code").agg(F.sum("weight").alias("weight")).toArrow().sort_by("code")
+    return CharModel.of(t.column("code").to_numpy(), t.column("weight").to_numpy() / 1024)
+
+
 class Evidence:
     """Per distinct word: hashes of its beginnings, and how many toxic and other documents hold it."""
 
@@ -302,12 +330,15 @@ def unlike(texts: pa.Array, label: np.ndarray) -> np.ndarray:
     return np.sort(rows)
 
 
-def train(texts: pa.Array, label: np.ndarray) -> Model:
-    """Evidence from how many toxic and other documents hold each word; one class only, or no rows: no evidence."""
+def train(texts: pa.Array, label: np.ndarray, chars: CharModel | None = None) -> Model:
+    """Evidence from how many toxic and other documents hold each word; one class only, or no rows: no evidence.
+
+    The spelling model is that of the texts unless one is given.
+    """
     label = np.asarray(label) == 1
     rows = unlike(texts, label)
     texts, label = texts.take(pa.array(rows)), label[rows]
-    chars = spelling_of(texts)
+    chars = spelling_of(texts) if chars is None else chars
     seen = Evidence()
     for a, b, data, bounds in slices(texts):
         data = lower(data)
@@ -385,9 +416,9 @@ def score_texts(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, bound: int = MAX_TRAIN):
-    """The model as a broadcast variable; its size is bounded by the sample's."""
+    """The model as a broadcast variable; its size is bounded by the sample's and the trigram alphabet's."""
     sample = labelled_texts(docs, labels, "toxic", folds, held_out, bound)
-    model = train(sample.column("text").combine_chunks(), sample.column("label").to_numpy())
+    model = train(sample.column("text").combine_chunks(), sample.column("label").to_numpy(), corpus_spelling(docs))
     model.chars.known.clear()
     return docs.sparkSession.sparkContext.broadcast(model)
 

@@ -90,3 +90,16 @@ def test_viterbi_against_all_spellings():
 
         best = max(product(*options), key=value)
         assert toxicity.restore(token, m.chars) == "".join(t for t, _ in best)
+
+
+def test_spelling_is_learned_from_all_documents(spark):
+    """Words of documents without labels are spelled by their own trigrams, also with no labels at all."""
+    texts = ["the plain words of a labelled text"] * 3 + ["qlzuvo qlzuvo brixqot", "brixqot", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "doc_id long, toxic int")
+    for some in (labels, labels.limit(0)):
+        chars = toxicity.fit(docs, some).value.chars
+        assert {"qlz", "zuv", "xqo", "pla"} <= set(chars.grams[2])
+        assert chars.grams[2]["qlz"] == pytest.approx(2**0.5, abs=1e-3)
+        assert toxicity.restore("q1zuv0", chars) == "qlzuvo"
+        assert toxicity.restore("br1xq0t", chars) == "brixqot"
