@@ -49,15 +49,39 @@ def spelling(url: Column) -> Column:
     return F.when(url.contains("://"), key)
 
 
+def resolved(base: Column, to: Column) -> Column:
+    """The address that a link on page ``base`` names; null for other schemes without ``://`` and for empty links."""
+    to = F.regexp_replace(F.trim(to), "&amp;", "&")
+    origin = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
+    own, tail = path(base), F.regexp_extract(to, r"(?s)[?#].*$", 0)
+    here = F.regexp_extract(to, r"(?s)^[^?#]*", 0)
+    full = F.when(here.startswith("/"), here).otherwise(F.concat(F.when(own == "", F.lit("/")).otherwise(F.regexp_extract(own, r"(?s)^.*/", 0)), here))
+    parts = F.split(F.when(full.rlike(r"(?s)(^|/)\.\.?$"), F.concat(full, F.lit("/"))).otherwise(full), "/")
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    plain = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return (
+        F.when((to == "") | ~base.contains("://"), None)
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), to)
+        .when(to.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), to))
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), None)
+        .when(here == "", F.concat(origin, own, F.when(tail.startswith("#"), F.regexp_extract(base, r"\?[^#]*", 0)).otherwise(F.lit("")), tail))
+        .otherwise(F.concat(origin, plain, tail))
+    )
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """(a, b, to): spelling keys of each page and of the address its canonical link or refresh redirect names, and that address."""
+    tag = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical)[^>]*\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
+    refresh = r"(?is)<meta\b(?=[^>]*http-equiv\s*=\s*[\"']?refresh)[^>]*\bcontent\s*=\s*[\"'][^\"'>]*?url\s*=\s*[\"']?\s*([^\"'\s>]+)"
+    html = F.col("html")
+    found = pages.where(html.rlike("(?i)canonical|http-equiv")).select("url", F.explode(F.array(F.regexp_extract(html, tag, 1), F.regexp_extract(html, refresh, 1))).alias("to"))
+    found = found.where("to <> ''").select("url", resolved(F.col("url"), F.col("to")).alias("to"))
+    return found.select(spelling(F.col("url")).alias("a"), spelling(F.col("to")).alias("b"), "to").where("a is not null and b is not null")
+
+
 def link_targets(pages: DataFrame) -> DataFrame:
     """(a, b): spelling keys of each page and of the address its canonical link or refresh redirect names."""
-    tag = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-    refresh = r"(?is)<meta\b(?=[^>]*http-equiv\s*=\s*[\"']?refresh)[^>]*\bcontent\s*=\s*[\"'][^\"'>]*?url\s*=\s*([^\"'\s>]+)"
-    html = F.col("html")
-    found = pages.where(html.rlike("(?i)canonical|http-equiv")).select(
-        spelling(F.col("url")).alias("a"), F.explode(F.array(F.regexp_extract(html, tag, 1), F.regexp_extract(html, refresh, 1))).alias("to")
-    )
-    return found.select("a", spelling(F.col("to")).alias("b")).where("a is not null and b is not null and a <> b")
+    return links(pages).select("a", "b").where("a <> b")
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -65,7 +89,7 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
 
     A page's own rule decides. Without one, its alias class does: allow if any
     member is explicitly allowed, else block if any is blocked, else allow.
-    Null urls and those without ``://`` have empty host and path, no class, and
+    Addresses that links name are members, whether they are pages or not. Null urls and those without ``://`` have empty host and path, no class, and
     are allowed; repeated rows are judged alike, one by one; extra columns are
     ignored. A class is summed before the shuffle, so one that holds a third
     of all pages is no hot task.
@@ -76,7 +100,9 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     seen = seen.select("page_id", "host", "path", rule.alias("rule"), own.alias("_own"), "_key")
     comps = components(link_targets(pages.select("url", "html")))
     linked = seen.join(comps, seen["_key"] == comps["id"], "left").select(*seen.columns, F.coalesce("component", "_key").alias("alias_class"))
-    ruled = linked.where("_own is not null and alias_class is not null")
+    named = links(pages.select("url", "html")).select("b", match_rule(host(F.col("to")), path(F.col("to")), rules)[1].alias("_own")).where("_own is not null").distinct()
+    named = named.join(comps, named["b"] == comps["id"], "left").select(F.coalesce("component", "b").alias("alias_class"), "_own")
+    ruled = linked.where("_own is not null and alias_class is not null").select("alias_class", "_own").unionAll(named)
     classes = ruled.groupBy(F.col("alias_class").alias("_class")).agg(F.max(F.col("_own") == "allow").alias("_allow"))
     out = linked.join(classes, F.col("alias_class") == F.col("_class"), "left")
     by_class = F.when(F.col("_allow"), "allow").when(~F.col("_allow"), "block")

@@ -110,6 +110,24 @@ def test_urls(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_links_to_addresses_that_are_no_pages(spark):
+    page = lambda i, url, html="": (i, url, html)
+    meta = '<meta http-equiv="refresh" content="0;url={}">'
+    rows = [
+        page(1, "http://plain.com/1", "<link rel=canonical href='http://evil.net/z'>"), page(2, "http://plain.com/2", meta.format("'http://evil.net/y'")),
+        page(3, "http://plain.com/3", "<link rel='canonical' href='//evil.net/x'>"), page(4, "http://example.com/a", "<link rel=canonical href='/de/y'>"),
+        page(5, "http://example.com/de2/b", meta.format("../de/y2?q#f")), page(6, "http://plain.com/6", "<link rel=canonical href='mailto:x@evil.net'>"),
+        page(7, "http://plain.com/7", meta.format("?p=2")), page(8, "http://plain.com/8", "<link rel=canonical href='http://w.org/fr/q'>" + meta.format("http://evil.net/8")),
+        page(9, "http://www.plain.com/1/"), page(10, "http://other.com/10", meta.format("http://plain.com/2")),
+    ]
+    out = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == len(rows)
+    block = ("block", "alias")
+    assert {r["page_id"]: (r["verdict"], r["by"]) for r in out} == {
+        1: block, 2: block, 3: block, 4: block, 5: block, 6: ("allow", "default"), 7: ("allow", "default"), 8: ("allow", "alias"), 9: block, 10: block,
+    }
+
+
 def test_licenses(spark):
     mit = next(t for n, t in license_scan.KNOWN if n == "MIT" and len(t) > 300)
     texts = [None, "", "nothing here", "Some prose.\n  RELEASED under the MIT Licence!\nmore", "MIT License\n\nCopyright (c) 2001 Somebody\n" + mit.upper().replace(" ", "  "), "Released under the MIT License. Not quite"]
