@@ -173,8 +173,7 @@ def spread_summary(spark, sf):
 @query(None)
 def greedy_im(spark, sf):
     g = parts(spark, sf)
-    top = g.strength().orderBy(F.desc("strength"), "id").limit(20).select("id")
-    return spark.createDataFrame([(i, int(s)) for i, s in enumerate(diffusion.greedy_seeds(g, 3, top, 0.1, 5, 3), 1)], "place int, id long")
+    return spark.createDataFrame([(i, int(s)) for i, s in enumerate(diffusion.greedy_seeds(g, 3, g.nodes.select("id"), 0.1, 5, 3), 1)], "place int, id long")
 
 
 @query(None)

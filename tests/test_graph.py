@@ -238,3 +238,13 @@ def test_overlap_bridge(spark):
     assert sets[7] == [1, 2]
     assert sets[1] == [1]
     assert not math.isnan(consensus.confidence(g, co).agg(F.avg("confidence")).first()[0])
+
+
+def test_greedy_seeds_come_from_all_nodes(spark, sf_dir, monkeypatch):
+    from hubspark.plans import queries_more
+
+    pools = []
+    monkeypatch.setattr(queries_more.diffusion, "greedy_seeds", lambda g, k, candidates, *rest: pools.append((candidates, g)) or [1])
+    queries_more.QUERIES["greedy_im"](spark, sf_dir)
+    ((candidates, g),) = pools
+    assert {r["id"] for r in candidates.collect()} == {r["id"] for r in g.nodes.select("id").collect()}
