@@ -1,24 +1,24 @@
 """Text scores by a weighted backoff automaton of word n-grams.
 
-States are the empty context, words and word pairs; an arc (state, word) has
-the discounted probability of that n-gram, a failure arc leads to the state of
-the shorter context with its backoff weight. The empty context's distribution
-is the add-one unigram with one place for all unseen words; longer contexts
-are smoothed towards the shorter one by a Dirichlet prior.
-
-Counts are exact and cover all training texts, and every n-gram that occurs
-twice is an arc, whatever the size of the corpus. Words, arcs and weights are
-distributed tables. The logarithm of a text's probability is a sum over its
-n-grams: with f(c) the log weight of context c (0 if it has no arcs),
-
-    word w: log p(w) + f(w)    pair bw, an arc: log p(w|b) - f(b) - log p(w) + f(bw)
-    triple abw, an arc: log p(w|ab) - f(ab) - log p(w|b)
-
-(f at the place where c is the context; END is none), since a triple's arc
-undoes what its pairs have added. So a text is scored by one lookup of its
-n-grams. The most frequent ones, at most ``1 / HOT`` of each length, are
-broadcast, so that no frequent one makes a hot key; bit maps of a bounded size
-leave out most n-grams that are no arcs; the rest go by shuffle.
+States are the empty context, words and word pairs. With n the counts of all
+training texts, the arc of word w from state c has the weight
+
+    p(w | c) = (n(cw) + k p(w | c')) / (n(c) + k)
+
+where c' is the shorter context and the empty one has the add-one unigram with
+one place for all unseen words. A state without an arc for w fails over to c'
+with the weight k / (n(c) + k), so that every state's weights sum to one
+(Dirichlet smoothing). Every n-gram of the corpus counts, once seen or often,
+at any corpus size: there is no cut-off, cap or approximate count.
+
+A text needs only the counts of its own n-grams. So texts are packed to blocks
+of a bounded size, each block asks for the total counts of its distinct
+n-grams, and one traversal of the block's part of the automaton gives the
+scores. An n-gram, however frequent, is one key per block; keys are hashes, so
+the buckets in which the blocks' counts meet are even, and their number
+follows the corpus. What a block has to itself is not answered: its own count
+is the total then, and a triple of which one pair is the block's own is not
+even asked for.
 """
 
 from __future__ import annotations
@@ -31,17 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, Table, U, constants, mix, slices, word_bounds, word_hashes
+from .kernels import LOWER, U, constants, mix, slices, word_bounds, word_hashes
 from .samples import remainder
+from .textops import cut
 
-#: N-grams of at least this share of the tokens are looked up without a shuffle.
-HOT = 2.0**-19
-#: Bits in the largest map of arcs. A fuller map lets more n-grams through and changes no result.
-MAP_BITS = 28
+#: Bytes of text in a block; a longer text is a block of its own.
+BLOCK = 8 << 20
+#: Tokens of the corpus for each bucket in which counts meet.
+BUCKET_TOKENS = 1 << 20
 #: Weight of the shorter context, in tokens, for words after a word and after a pair.
 PRIOR = {2: 100.0, 3: 3.0}
 END = U(0x9D39_247E_3377_6D41)
-_MIX2, _MIX3 = constants(31, 2), constants(33, 3)
+_MIX2 = constants(31, 2)
+_CODEC = pa.Codec("zstd", 1)
 
 
 def token_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,385 +56,246 @@ def token_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return out, first + np.arange(n + 1)
 
 
-def ngram_keys(tokens: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places of last tokens, keys) of the n-grams inside texts."""
-    ok = np.ones(len(tokens), dtype=bool)
-    for j in range(n - 1):
-        starts = at[:-1] + j
-        ok[starts[starts < at[1:]]] = False
-    places = np.flatnonzero(ok)
-    if n == 1:
-        return places, tokens[places]
-    weights = _MIX2 if n == 2 else _MIX3
-    acc = np.zeros(len(places), dtype=U)
-    for j in range(n):
-        acc += tokens[places - (n - 1 - j)] * weights[j]
-    return places, mix(acc)
-
-
-def _grouped(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ids, at = np.unique(keys, return_inverse=True)
-    return ids, np.bincount(at, weights=counts, minlength=len(ids)).astype(np.int64)
-
-
-class Tally:
-    """Counts of keys, merged when many have come."""
-
-    def __init__(self, most: int = 1 << 21):
-        self.parts, self.size, self.most = [], 0, most
-
-    def add(self, keys: np.ndarray) -> None:
-        ids, n = np.unique(keys, return_counts=True)
-        self.parts.append((ids, n.astype(np.int64)))
-        self.size += len(ids)
-
-    def full(self) -> bool:
-        if self.size > self.most:
-            self.merge()
-        return self.size > self.most // 2
-
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.parts:
-            self.parts = [_grouped(np.concatenate([k for k, _ in self.parts]), np.concatenate([n for _, n in self.parts]))]
-            self.size = len(self.parts[0][0])
-            return self.parts[0]
-        return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
-
-    def clear(self) -> None:
-        self.parts, self.size = [], 0
-
-
-def _pack(kind: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Sorted keys by their leading bits, as one row per bucket; the shuffle then moves no single rows."""
-    keys = keys.astype(U)
-    bucket = (keys >> U(64 - bits)).astype(np.int64)
-    heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
-    tails = np.concatenate((heads[1:], [len(keys)])).astype(np.int64) if len(keys) else heads
-    small = counts.astype(np.uint32)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(len(heads), kind, dtype=np.int32)),
-            pa.array(bucket[heads]),
-            pa.array([keys[a:b].tobytes() for a, b in zip(heads.tolist(), tails.tolist(), strict=True)], pa.binary()),
-            pa.array([small[a:b].tobytes() for a, b in zip(heads.tolist(), tails.tolist(), strict=True)], pa.binary()),
-        ],
-        names=["kind", "bucket", "ks", "ns"],
-    )
-
-
-def _unpack(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (kind, bucket) -> kind, key, n with n at least ``least``."""
-    at, parts = None, []
-
-    def done():
-        keys = np.concatenate([np.frombuffer(k, dtype=U) for k, _ in parts])
-        counts = np.concatenate([np.frombuffer(n, dtype=np.uint32).astype(np.int64) for _, n in parts])
-        ids, n = _grouped(keys, counts)
-        keep = n >= least
-        return pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), at[0], dtype=np.int32)), pa.array(ids[keep].view(np.int64)), pa.array(n[keep])], names=["kind", "key", "n"])
+def _squeeze(x: np.ndarray) -> bytes:
+    """Size and compressed bytes; the leading bytes of small numbers take no room."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + _CODEC.compress(planes.tobytes(), asbytes=True)
 
-    for batch in batches:
-        for kind, bucket, ks, ns in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if (kind, bucket) != at:
-                if parts:
-                    yield done()
-                at, parts = (kind, bucket), []
-            parts.append((ks, ns))
-    if parts:
-        yield done()
 
+def _expand(packed: bytes, kind) -> np.ndarray:
+    n, width = int.from_bytes(packed[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(_CODEC.decompress(packed[8:], n * width, asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
 
-def _each(batches, column=0):
-    for batch in batches:
-        yield from slices(batch.column(column))
 
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Increasing 64-bit keys as their differences."""
+    return _squeeze(np.diff(keys, prepend=U(0)))
 
-def _count_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    words = Tally()
-    for _, _, data, bounds in _each(batches):
-        words.add(token_hashes(LOWER[data], bounds)[0])
-        if words.full():
-            yield _pack(1, *words.merge(), bits)
-            words.clear()
-    yield _pack(1, *words.merge(), bits)
 
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(_expand(packed, U), dtype=U)
 
-class Sieve:
-    """Bit map over the leading bits of keys."""
 
-    def __init__(self, bits: int):
-        self.bits, self.map = bits, np.zeros(1 << (bits - 3), dtype=np.uint8)
+_BLOCK = "block bigint, ids array<{kind}>, held array<boolean>, n_tokens bigint, sizes binary, words binary, codes binary"
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        at = keys >> U(64 - self.bits)
-        return (self.map[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & np.uint8(1) > 0
 
+def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Rows doc_id, held_out, text -> one row per block: sizes of its texts, its distinct words and each token's place among them."""
+    from pyspark import TaskContext
 
-def _marked(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows with a key -> the bytes of the map that are not 0."""
-    for batch in batches:
-        at = np.unique(batch.column(0).to_numpy().view(U) >> U(64 - bits)).astype(np.int64)
-        place, start = np.unique(at >> 3, return_index=True)
-        if len(place):
-            value = np.bitwise_or.reduceat((1 << (at & 7)).astype(np.uint8), start)
-            yield pa.RecordBatch.from_arrays([pa.array([place.astype(np.uint32).tobytes()], pa.binary()), pa.array([value.tobytes()], pa.binary())], names=["place", "value"])
-
-
-def sieve(table: DataFrame, kinds: int) -> Sieve:
-    out = Sieve(min(MAP_BITS, max(10, kinds.bit_length() + 4)))
-    bits = out.bits
-    marks = table.select("key").mapInArrow(lambda it: _marked(it, bits), "place binary, value binary")
-    for row in marks.toLocalIterator():
-        at = np.frombuffer(row["place"], dtype=np.uint32)
-        out.map[at] |= np.frombuffer(row["value"], dtype=np.uint8)
-    return out
-
-
-def sides(tokens: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places of last tokens, keys of the first n-1 tokens, keys of the last n-1) of the n-grams inside texts."""
-    places, _ = ngram_keys(tokens, at, n)
-    short = np.zeros(len(tokens), dtype=U)
-    p, k = ngram_keys(tokens, at, n - 1)
-    short[p] = k
-    return places, short[places - 1], short[places]
-
-
-def _pack_arcs(parts: list, bits: int) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams with counts, one row per bucket of keys."""
-    if not parts:
-        return
-    left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
-    keys, first, counts = np.unique(_pair(left, right), return_index=True, return_counts=True)
-    if not len(keys):
-        return
-    bucket = (keys >> U(64 - bits)).astype(np.int64)
-    heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-    spans = list(zip(heads.tolist(), [*heads[1:].tolist(), len(keys)], strict=True))
-    columns = [left[first], right[first], counts.astype(np.uint32)]
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[heads]), *[pa.array([c[a:b].tobytes() for a, b in spans], pa.binary()) for c in columns]], names=["bucket", "ls", "rs", "ns"])
-
-
-def _count_arcs(batches: Iterator[pa.RecordBatch], n: int, inner: Sieve, bits: int) -> Iterator[pa.RecordBatch]:
-    """n-grams whose two (n-1)-grams may be frequent enough: no other can be as frequent as those."""
+    context = TaskContext.get()
+    number = (context.partitionId() if context else 0) << 32
     parts, size = [], 0
-    for _, _, data, bounds in _each(batches):
-        tokens, at = token_hashes(LOWER[data], bounds)
-        _, left, right = sides(tokens, at, n)
-        keep = inner.has(left) & inner.has(right)
-        parts.append((left[keep], right[keep]))
-        size += int(keep.sum())
-        if size > 1 << 22:
-            yield from _pack_arcs(parts, bits)
-            parts, size = [], 0
-    yield from _pack_arcs(parts, bits)
-
-
-def _unpack_arcs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows in order of bucket -> key, l, r, n with n at least ``least``."""
-    at, parts = None, []
-
-    def done():
-        left, right = (np.concatenate([np.frombuffer(p[i], dtype=U) for p in parts]) for i in (0, 1))
-        counts = np.concatenate([np.frombuffer(p[2], dtype=np.uint32) for p in parts])
-        keys, first, place = np.unique(_pair(left, right), return_index=True, return_inverse=True)
-        n = np.bincount(place, weights=counts, minlength=len(keys)).astype(np.int64)
-        keep = n >= least
-        return pa.RecordBatch.from_arrays([*[pa.array(x[keep].view(np.int64)) for x in (keys, left[first], right[first])], pa.array(n[keep])], names=["key", "l", "r", "n"])
+
+    def done() -> pa.RecordBatch:
+        ids, held, tokens, sizes = zip(*parts, strict=True)
+        sizes = np.concatenate(sizes)
+        words, codes = np.unique(np.concatenate(tokens), return_inverse=True)
+        as_list = lambda xs: pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.concat_arrays(xs))
+        packed = [_squeeze(sizes.astype(np.int64)), pack_sorted(words), _squeeze(codes.astype(np.uint32))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number]), as_list(ids), as_list(held), pa.array([int(sizes.sum())]), *[pa.array([x], pa.binary()) for x in packed]],
+            names=["block", "ids", "held", "n_tokens", "sizes", "words", "codes"],
+        )
 
     for batch in batches:
-        for bucket, *rest in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if bucket != at:
-                if parts:
-                    yield done()
-                at, parts = bucket, []
-            parts.append(rest)
+        for a, b, data, bounds in slices(batch.column(2), block):
+            if parts and size + len(data) > block:
+                yield done()
+                number, parts, size = number + 1, [], 0
+            tokens, at = token_hashes(LOWER[data], bounds)
+            parts.append((batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), tokens, np.diff(at)))
+            size += len(data)
     if parts:
         yield done()
 
 
-def _counted(rows: DataFrame, least: int) -> DataFrame:
-    dealt = rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
-    return dealt.mapInArrow(lambda it: _unpack(it, least), "kind int, key bigint, n bigint")
-
-
-_PACKED = "kind int, bucket bigint, ks binary, ns binary"
-
-
-def _weights(arcs: DataFrame) -> DataFrame:
-    """What the arcs of a context leave, so that its probabilities sum to one: c, f."""
-    left = [F.greatest(1 - F.sum(x), F.lit(1e-12)) for x in ("p", "below")]
-    return arcs.groupBy(F.col("l").alias("c")).agg(F.log10(left[0] / left[1]).alias("f"))
-
-
-def _arcs(counted: DataFrame, contexts: DataFrame, ends: DataFrame, prior: float) -> DataFrame:
-    """Counted n-grams with p, below and delta; contexts are (c, total), ends are (e, below)."""
-    rows = counted.join(contexts, F.col("l") == F.col("c")).drop("c").join(ends, F.col("r") == F.col("e")).drop("e")
-    rows = rows.withColumn("p", (F.col("n") + prior * F.col("below")) / (F.col("total") + prior))
-    return rows.join(_weights(rows), F.col("l") == F.col("c")).withColumn("delta", F.log10("p") - F.col("f") - F.log10("below"))
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint; the shuffles of steps that are done leave the disk before."""
-    from .textops import cut
-
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return cut(df)
+class Texts:
+    """The tokens of a block: hashes, and what is a training token."""
 
+    def __init__(self, row: dict):
+        self.block = row["block"]
+        self.held = np.array(row["held"], dtype=bool)
+        self.sizes = _expand(row["sizes"], np.int64)
+        self.words, self.codes = unpack_sorted(row["words"]), _expand(row["codes"], np.uint32)
+        self.first = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.train = np.repeat(~self.held, self.sizes)
+        self.place = np.arange(len(self.codes)) - np.repeat(self.first[:-1], self.sizes)
 
-def train(texts: DataFrame, share: float = 0.0, order: int = 3):
-    """(table of values, list of a sieve per length from 2 on, tokens N, kinds V) from a table with a text column.
+    def own(self, codes: np.ndarray, kinds: int, places: np.ndarray | None = None) -> np.ndarray:
+        """Occurrences of each kind in the block's training texts."""
+        train = self.train if places is None else self.train[places]
+        return np.bincount(codes[train], minlength=kinds)
 
-    The table has kind (length), key, n, base (log10 of a word's count + 1, else 0) and delta.
-    """
-    spark = texts.sparkSession
-    bits = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() + 3)
-    texts = texts.select("text")
-    words = _cut(_counted(texts.mapInArrow(lambda it: _count_words(it, bits), _PACKED), 1).select("key", "n"))
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n_tokens, n_kinds = int(total["n"]), int(total["v"])
-    least = max(2, int(np.ceil(share * n_tokens)))
-
-    def counted(n: int, inner: Sieve) -> DataFrame:
-        shared = spark.sparkContext.broadcast(inner)
-        rows = texts.mapInArrow(lambda it: _count_arcs(it, n, shared.value, bits), "bucket bigint, ls binary, rs binary, ns binary")
-        dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
-        return _cut(dealt.mapInArrow(lambda it: _unpack_arcs(it, least), "key bigint, l bigint, r bigint, n bigint"))
-
-    often = words.where(F.col("n") >= least)
-    pairs = counted(2, sieve(often, n_kinds))
-    sieves = [sieve(pairs, pairs.count())]
-    uni = (F.col("n") + 1) / float(n_tokens + n_kinds + 1)
-    twos = _cut(_arcs(pairs, often.select(F.col("key").alias("c"), F.col("n").alias("total")), often.select(F.col("key").alias("e"), uni.alias("below")), PRIOR[2]).select("key", "l", "n", "p", "f", "delta"))
-    del pairs
-    weights = {1: twos.groupBy("l").agg(F.first("f").alias("f")).withColumnRenamed("l", "c")}
-    values = [words.select(F.lit(1).alias("kind"), "key", "n", F.log10(F.col("n") + 1.0).alias("base"), F.lit(0.0).alias("delta"))]
-    values.append(twos.select(F.lit(2).alias("kind"), "key", "n", F.lit(0.0).alias("base"), "delta"))
-    if order > 2:
-        triples = counted(3, sieves[0])
-        sieves.append(sieve(triples, triples.count()))
-        threes = _cut(_arcs(triples, twos.select(F.col("key").alias("c"), F.col("n").alias("total")), twos.select(F.col("key").alias("e"), F.col("p").alias("below")), PRIOR[3]).select("key", "l", "n", "f", "delta"))
-        del triples
-        weights[2] = threes.groupBy("l").agg(F.first("f").alias("f")).withColumnRenamed("l", "c")
-        values.append(threes.select(F.lit(3).alias("kind"), "key", "n", F.lit(0.0).alias("base"), "delta"))
-    for n, f in weights.items():
-        v = values[n - 1]
-        values[n - 1] = v.join(f, F.col("key") == F.col("c"), "left").withColumn("delta", F.col("delta") + F.coalesce("f", F.lit(0.0))).select(*v.columns)
-    table = values[0]
-    for v in values[1:]:
-        table = table.unionAll(v)
-    return _cut(table), sieves, n_tokens, n_kinds
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of the second words, distinct keys, kind of the pair at each of the places)."""
+        places = np.flatnonzero(self.place >= 1)
+        tokens = self.words[self.codes]
+        keys, kind = np.unique(_pair(tokens[places - 1], tokens[places]), return_inverse=True)
+        return places, keys, kind
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _MIX2[0] + b * _MIX2[1])
 
 
-class Values:
-    """Values of keys: base and delta."""
+def _asked(block: int, order: int, keys: np.ndarray, own: np.ndarray, bits: int) -> pa.Table:
+    """Sorted keys with their counts in the block, one row per bucket of keys."""
+    cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=U) << U(64 - bits)) if bits else np.zeros(1, dtype=np.int64)
+    ends = np.append(cuts[1:], len(keys))
+    some = np.flatnonzero(ends > cuts)
+    spans = list(zip(cuts[some].tolist(), ends[some].tolist(), strict=True))
+    own = own.astype(U)
+    return pa.table({
+        "bucket": pa.array((order << 40) + some.astype(np.int64)),
+        "block": pa.array(np.full(len(some), block, dtype=np.int64)),
+        "ks": pa.array([pack_sorted(keys[a:b]) for a, b in spans], pa.binary()),
+        "own": pa.array([_squeeze(own[a:b]) for a, b in spans], pa.binary()),
+    })
 
-    def __init__(self, key: np.ndarray, base: np.ndarray, delta: np.ndarray):
-        o = np.argsort(key)
-        self.table, self.base, self.delta = Table(key), base[o], delta[o]
 
-    def sums(self, keys: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(was each key found, sums per text of base and delta)."""
-        at = self.table.find(keys)
-        hit = at >= 0
-        return hit, [np.bincount(text[hit], weights=v[at[hit]], minlength=n) for v in (self.base, self.delta)]
+_ASKED = "bucket bigint, block bigint, ks binary, own binary"
+_ANSWER = "block bigint, bucket bigint, more binary, kinds bigint, tokens bigint"
 
 
-_PARTS = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "delta", "bucket", "keys", "rows"]
+def _ask_words_and_pairs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            texts = Texts(row)
+            yield from _asked(texts.block, 1, texts.words, texts.own(texts.codes, len(texts.words)), bits).to_batches()
+            places, keys, kind = texts.pairs()
+            yield from _asked(texts.block, 2, keys, texts.own(kind, len(keys), places), bits).to_batches()
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """Per block: what the other blocks add to each of its keys, doubled, plus one if any other has the key; kinds and tokens of the bucket in its first row."""
+    keys = [unpack_sorted(k) for k in asked.column("ks").to_pylist()]
+    own = np.concatenate([_expand(n, U) for n in asked.column("own").to_pylist()])
+    at = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
+    ids, kind = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(kind, weights=own, minlength=len(ids)).astype(U)
+    shared = np.bincount(kind, minlength=len(ids)) > 1
+    more = np.where(shared[kind], (total[kind] - own) * U(2) + U(1), U(0))
+    once = lambda n: pa.array([int(n)] + [0] * (len(keys) - 1), pa.int64())
+    return pa.table({
+        "block": asked.column("block"),
+        "bucket": asked.column("bucket"),
+        "more": pa.array([_squeeze(more[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()),
+        "kinds": once((total > 0).sum()),
+        "tokens": once(own.sum()),
+    })
+
+
+def _answers(told: pa.Table) -> dict[int, np.ndarray]:
+    """Per order the answers of a block, in the order of its keys."""
+    out = {}
+    for row in told.sort_by("bucket").to_pylist():
+        out.setdefault(row["bucket"] >> 40, []).append(_expand(row["more"], U))
+    return {k: np.concatenate(v) for k, v in out.items()}
+
+
+def _triples(texts: Texts, shared: np.ndarray, places: np.ndarray, keys: np.ndarray, kind: np.ndarray):
+    """(places of the third words, distinct keys, kinds at the places, which kinds other blocks may have)."""
+    of = np.zeros(len(texts.codes), dtype=np.int64)
+    of[places] = kind
+    third = np.flatnonzero(texts.place >= 2)
+    left, right = of[third - 1], of[third]
+    ids, first, at = np.unique(_pair(keys[left], keys[right]), return_index=True, return_inverse=True)
+    return third, ids, at, (shared[left] & shared[right])[first]
+
+
+def _ask_triples(block: pa.Table, told: pa.Table, bits: int) -> pa.Table:
+    empty = pa.table({"bucket": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "ks": pa.array([], pa.binary()), "own": pa.array([], pa.binary())})
+    out = [empty]
+    for row in block.to_pylist():
+        texts = Texts(row)
+        pairs = texts.pairs()
+        if not len(pairs[0]):
+            continue
+        third, ids, at, ask = _triples(texts, (_answers(told)[2] & U(1)) > 0, *pairs)
+        own = texts.own(at, len(ids), third)
+        out.append(_asked(texts.block, 3, ids[ask], own[ask], bits))
+    return pa.concat_tables(out)
+
+
+def traverse(texts: Texts, counts: dict[int, np.ndarray], pairs: tuple, triples: tuple, n_tokens: int, n_kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(add-one log10 of each token, log10 of the automaton's weight on the way to it).
+
+    All texts go from left to right at once; the state before a token is the
+    pair before it. Of each token: the arc from that state if it has one, else
+    the failure weight and the arc from the last word, else that one's failure
+    weight too and the arc from the empty context.
+    """
+    n1 = counts[1][texts.codes].astype(np.float64)
+    empty = (n1 + 1) / (n_tokens + n_kinds + 1)
+    by_word = empty.copy()
+    places, _, kind = pairs
+    context = np.zeros(len(n1))
+    context[places] = counts[2][kind]
+    k = PRIOR[2]
+    seen = n1[places - 1]  # every occurrence of a word but END goes on
+    arc = context[places] > 0
+    by_word[places] = np.where(arc, (context[places] + k * empty[places]) / (seen + k), k / (seen + k) * empty[places])
+    out = by_word.copy()
+    third, _, at, _ = triples
+    k = PRIOR[3]
+    n3, seen = counts[3][at].astype(np.float64), context[third - 1]
+    out[third] = np.where(n3 > 0, (n3 + k * by_word[third]) / (seen + k), k / (seen + k) * by_word[third])
+    return np.log10(empty), np.log10(out)
+
+
+_SCORED = "doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def _score(block: pa.Table, told: pa.Table, n_tokens: int, n_kinds: int) -> pa.Table:
+    out = []
+    for row, ids, held in zip(block.drop_columns(["ids"]).to_pylist(), block.column("ids"), block.column("held"), strict=True):
+        texts, more = Texts(row), _answers(told)
+        pairs = texts.pairs()
+        shared = (more[2] & U(1)) > 0 if 2 in more else np.zeros(0, dtype=bool)
+        triples = _triples(texts, shared, *pairs)
+        third, keys, at, ask = triples
+        counts = {1: texts.own(texts.codes, len(texts.words)), 2: texts.own(pairs[2], len(pairs[1]), pairs[0]), 3: texts.own(at, len(keys), third)}
+        counts = {k: v.astype(np.int64) for k, v in counts.items()}
+        for k, which in ((1, slice(None)), (2, slice(None)), (3, ask)):
+            if k in more:
+                counts[k][which] += (more[k] >> U(1)).astype(np.int64)
+        base, score = traverse(texts, counts, pairs, triples, n_tokens, n_kinds)
+        known = counts[1][texts.codes] > 0
+        sums = [np.add.reduceat(x, texts.first[:-1]) for x in (known.astype(np.int64), base, score)]
+        out.append(pa.table({"doc_id": ids.values, "held_out": held.values, "n_tokens": texts.sizes, "n_known": sums[0], "base_score": sums[1], "score": sums[2]}))
+    return pa.concat_tables(out)
 
 
-def _requests(batches: Iterator[pa.RecordBatch], hot: dict[int, Values], sieves: list[Sieve], bits: int) -> Iterator[pa.RecordBatch]:
-    """A row of sums per text, and rows of what was not found, one per bucket of keys."""
-    from pyspark import TaskContext
+def _cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint; the shuffles of steps that are done leave the disk before."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return cut(df)
 
-    context = TaskContext.get()
-    row = (context.partitionId() if context else 0) << 40
-    for batch in batches:
-        kinds = batch.schema.types[:2]
-        for a, b, data, bounds in slices(batch.column(2)):
-            tokens, at = token_hashes(LOWER[data], bounds)
-            n = b - a
-            text = np.repeat(np.arange(n), np.diff(at))
-            known, base, delta, open_keys, open_texts = 0, np.zeros(n), np.zeros(n), [], []
-            for k in range(1, len(sieves) + 2):
-                if k == 1:
-                    places, keys = np.arange(len(tokens)), tokens
-                else:
-                    places, left, right = sides(tokens, at, k)
-                    keys = _pair(left, right)
-                hit, (more, change) = hot[k].sums(keys, text[places], n)
-                base, delta = base + more, delta + change
-                if k == 1:
-                    known = np.bincount(text[hit], minlength=n)
-                rest = ~hit if k == 1 else ~hit & sieves[k - 2].has(keys)
-                open_keys.append(keys[rest])
-                open_texts.append(text[places[rest]])
-            ids = row + np.arange(n)
-            row += n
-            none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
-            sums = [pa.array(np.diff(at)), pa.array(known), pa.array(base), pa.array(delta)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0).slice(a, n), batch.column(1).slice(a, n), *sums, *none], names=_PARTS)
-            keys, rows = np.concatenate(open_keys), ids[np.concatenate(open_texts)]
-            bucket = (keys >> U(64 - bits)).astype(np.int64)
-            o = np.argsort(bucket, kind="stable")
-            keys, rows, bucket = keys[o], rows[o], bucket[o]
-            heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
-            spans = list(zip(heads.tolist(), [*heads[1:].tolist(), len(keys)][: len(heads)], strict=True))
-            m = len(heads)
-            blank = [pa.nulls(m, t) for t in (pa.int64(), *kinds, pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            packed = [pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (keys, rows)]
-            yield pa.RecordBatch.from_arrays([*blank, pa.array(bucket[heads]), *packed], names=_PARTS)
-
-
-def _answers(asked: pa.Table, values: pa.Table) -> pa.Table:
-    """Sums per text of what one bucket's requests find in its values."""
-    found = Values(values.column("key").to_numpy().view(U), values.column("base").to_numpy(), values.column("delta").to_numpy())
-    word = (values.column("kind").to_numpy() == 1)[np.argsort(values.column("key").to_numpy().view(U))]
-    keys = np.concatenate([np.zeros(0, dtype=U), *[np.frombuffer(x, dtype=U) for x in asked.column("keys").to_pylist()]])
-    rows = np.concatenate([np.zeros(0, dtype=np.int64), *[np.frombuffer(x, dtype=np.int64) for x in asked.column("rows").to_pylist()]])
-    at = found.table.find(keys)
-    hit = at >= 0
-    ids, text = np.unique(rows[hit], return_inverse=True)
-    at = at[hit]
-    n = [np.bincount(text, weights=x, minlength=len(ids)) for x in (word[at], found.base[at], found.delta[at])]
-    return pa.table({"row": pa.array(ids), "n_known": pa.array(n[0].astype(np.int64)), "base": pa.array(n[1].astype(float)), "delta": pa.array(n[2].astype(float))})
-
-
-def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, share: float = 0.0, order: int = 3, hot: float = HOT) -> DataFrame:
+
+def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, block: int = BLOCK, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Trained on the rows outside the held-out fold (a row without doc_id is one
     of them); a null text is empty and has only the end token; repeated rows
     are counted and scored one by one; extra columns are ignored. Without
-    training texts nothing is known and both scores are 0. N-grams are arcs
-    from two occurrences on, or from ``share`` of the tokens if that is more.
+    training texts nothing is known and both scores are 0. ``block`` and
+    ``bucket_tokens`` change the work's cut and no result.
     """
-    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(remainder("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "text")
-    table, sieves, n, v = train(rows.where("not held_out"), share, order)
-    top = F.col("n") >= max(2, int(np.ceil(hot * n)))
-    t = table.where(top).select("kind", "key", "base", "delta").toArrow()  # at most `order` / hot rows
-    kind, key, base, delta = (t.column(i).to_numpy() for i in range(4))
-    shared = spark.sparkContext.broadcast(({k: Values(key[kind == k].view(U), base[kind == k], delta[kind == k]) for k in range(1, order + 1)}, sieves))
-    bits = int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, delta double, bucket bigint, keys binary, rows binary"
-    parts = _cut(rows.mapInArrow(lambda it: _requests(it, *shared.value, bits), schema))
-    asked = parts.where("bucket is not null").select("bucket", "keys", "rows").groupBy("bucket")
-    rest = table.where(~top).select(F.shiftrightunsigned("key", 64 - bits).alias("bucket"), "kind", "key", "base", "delta").groupBy("bucket")
-    answers = asked.cogroup(rest).applyInArrow(_answers, "row bigint, n_known bigint, base double, delta double")
-    heads = parts.where("bucket is null").drop("bucket", "keys", "rows")
-    blank = [F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("bigint").alias("n_tokens")]
-    summed = heads.unionAll(answers.select("row", *blank, "n_known", "base", "delta")).groupBy("row").agg(
-        F.first("doc_id", ignorenulls=True).alias("doc_id"), F.first("held_out", ignorenulls=True).alias("held_out"),
-        *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "delta")],
-    )
-    per_token = F.col("n_tokens") * float(np.log10(n + v + 1))
-    return summed.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("base") - per_token).alias("base_score"), (F.col("base") + F.col("delta") - per_token).alias("score"),
-    )
+    blocks = _cut(rows.mapInArrow(lambda it: _blocks(it, block), _BLOCK.format(kind=kind)))
+    n_all = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    bits = max(4, (int(n_all) // bucket_tokens).bit_length())
+    by_block = blocks.groupBy("block")
+    asked = blocks.mapInArrow(lambda it: _ask_words_and_pairs(it, bits), _ASKED)
+    told = _cut(asked.groupBy("bucket").applyInArrow(_answer, _ANSWER))
+    word_rows = told.where(F.shiftright("bucket", 40) == 1)
+    total = word_rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("v")).first()
+    n, v = int(total["n"]), int(total["v"])
+    triples = by_block.cogroup(told.where(F.shiftright("bucket", 40) == 2).groupBy("block")).applyInArrow(lambda b, t: _ask_triples(b, t, bits), _ASKED)
+    told3 = _cut(triples.groupBy("bucket").applyInArrow(_answer, _ANSWER))
+    scored = by_block.cogroup(told.unionAll(told3).groupBy("block")).applyInArrow(lambda b, t: _score(b, t, n, v), _SCORED.format(kind=kind))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
