@@ -40,7 +40,7 @@ BLOCK = 8 << 20
 #: Tokens of the corpus for each bucket in which counts meet.
 BUCKET_TOKENS = 1 << 20
 #: Weight of the shorter context, in tokens, for words after a word and after a pair.
-PRIOR = {2: 100.0, 3: 3.0}
+PRIOR = {2: 3000.0, 3: 10.0}
 END = U(0x9D39_247E_3377_6D41)
 _MIX2 = constants(31, 2)
 _CODEC = pa.Codec("zstd", 1)
@@ -269,10 +269,12 @@ def _score(block: pa.Table, told: pa.Table, n_tokens: int, n_kinds: int) -> pa.T
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint; the shuffles of steps that are done leave the disk before."""
+    """Reliable checkpoint; what the steps so far have shuffled leaves the disk."""
+    spark, done = df.sparkSession, cut(df)
+    del df
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return cut(df)
+    spark.sparkContext._jvm.System.gc()
+    return done
 
 
 def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, block: int = BLOCK, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
