@@ -23,8 +23,8 @@ even asked for.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -268,13 +268,16 @@ def _score(block: pa.Table, told: pa.Table, n_tokens: int, n_kinds: int) -> pa.T
     return pa.concat_tables(out)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint; what the steps so far have shuffled leaves the disk."""
-    spark, done = df.sparkSession, cut(df)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return done
+@contextmanager
+def _shuffles_once(spark):
+    """What a step shuffles leaves the disk at the step's end; each step here is run once and checkpointed."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, block: int = BLOCK, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
@@ -286,18 +289,19 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, block: int =
     training texts nothing is known and both scores are 0. ``block`` and
     ``bucket_tokens`` change the work's cut and no result.
     """
+    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(remainder("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "text")
-    blocks = _cut(rows.mapInArrow(lambda it: _blocks(it, block), _BLOCK.format(kind=kind)))
-    n_all = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    bits = max(4, (int(n_all) // bucket_tokens).bit_length())
-    by_block = blocks.groupBy("block")
-    asked = blocks.mapInArrow(lambda it: _ask_words_and_pairs(it, bits), _ASKED)
-    told = _cut(asked.groupBy("bucket").applyInArrow(_answer, _ANSWER))
-    word_rows = told.where(F.shiftright("bucket", 40) == 1)
-    total = word_rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("v")).first()
-    n, v = int(total["n"]), int(total["v"])
-    triples = by_block.cogroup(told.where(F.shiftright("bucket", 40) == 2).groupBy("block")).applyInArrow(lambda b, t: _ask_triples(b, t, bits), _ASKED)
-    told3 = _cut(triples.groupBy("bucket").applyInArrow(_answer, _ANSWER))
-    scored = by_block.cogroup(told.unionAll(told3).groupBy("block")).applyInArrow(lambda b, t: _score(b, t, n, v), _SCORED.format(kind=kind))
+    with _shuffles_once(spark):
+        blocks = cut(rows.mapInArrow(lambda it: _blocks(it, block), _BLOCK.format(kind=kind)))
+        n_all = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+        bits = max(4, (int(n_all) // bucket_tokens).bit_length())
+        asked = blocks.mapInArrow(lambda it: _ask_words_and_pairs(it, bits), _ASKED)
+        told = cut(asked.groupBy("bucket").applyInArrow(_answer, _ANSWER))
+        total = told.where(F.shiftright("bucket", 40) == 1).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("v")).first()
+        n, v = int(total["n"]), int(total["v"])
+        of_pairs = told.where(F.shiftright("bucket", 40) == 2).groupBy("block")
+        triples = blocks.groupBy("block").cogroup(of_pairs).applyInArrow(lambda b, t: _ask_triples(b, t, bits), _ASKED)
+        told3 = cut(triples.groupBy("bucket").applyInArrow(_answer, _ANSWER))
+    scored = blocks.groupBy("block").cogroup(told.unionAll(told3).groupBy("block")).applyInArrow(lambda b, t: _score(b, t, n, v), _SCORED.format(kind=kind))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
