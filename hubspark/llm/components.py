@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 from .textops import cut
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: A node with more than this and 1/HUBS of the edges is a hub; so there are at most 2 * HUBS of them.
+HUB_DEGREE, HUBS = 100, 512
+
+
+def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
     """One step over edges (u, v), u > v.
 
     large: each node hands its least neighbour to its larger neighbours;
     small: to its smaller ones and itself. The least neighbour comes from a
-    group-by (combined before the shuffle), so that a hub does not gather its
-    edges in one task; the join back can be split by AQE.
+    group-by (combined before the shuffle); the few hubs' ones are broadcast,
+    so that a hub does not gather its edges in one task.
     """
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    hubs = least.where(F.col("n") > max(HUB_DEGREE, n_edges // HUBS)).select("u", F.col("m").alias("hm"))
+    marked = both.join(F.broadcast(hubs), "u", "left")
+    joined = marked.where("hm is null").drop("hm").join(least.select("u", "m"), "u").unionByName(marked.where("hm is not null").withColumnRenamed("hm", "m"))
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -45,5 +51,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if mark["n"] == 0 or (mark["n"], mark["s"]) == seen:
             break
         seen = (mark["n"], mark["s"])
-        e = cut(_star(_star(e, True), False))
+        e = cut(_star(_star(e, True, mark["n"]), False, mark["n"]))
     return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

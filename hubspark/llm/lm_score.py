@@ -24,7 +24,6 @@ even asked for.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .kernels import LOWER, U, constants, mix, slices, word_bounds, word_hashes
 from .samples import remainder
-from .textops import cut
+from .textops import cut, shuffles_once
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK = 8 << 20
@@ -268,18 +267,6 @@ def _score(block: pa.Table, told: pa.Table, n_tokens: int, n_kinds: int) -> pa.T
     return pa.concat_tables(out)
 
 
-@contextmanager
-def _shuffles_once(spark):
-    """What a step shuffles leaves the disk at the step's end; each step here is run once and checkpointed."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, block: int = BLOCK, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -292,7 +279,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, block: int =
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(remainder("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "text")
-    with _shuffles_once(spark):
+    with shuffles_once(spark):
         blocks = cut(rows.mapInArrow(lambda it: _blocks(it, block), _BLOCK.format(kind=kind)))
         n_all = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
         bits = max(4, (int(n_all) // bucket_tokens).bit_length())
