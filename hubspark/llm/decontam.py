@@ -3,13 +3,16 @@
 Of each run of consecutive k-gram hashes a document keeps the least
 (Schleimer, Wilkerson & Aiken 2003). With k-grams of 5 words and runs of 6,
 every shared span of 10 words holds one whole run on both sides, so both keep
-the same fingerprint: no shared span is missed. Fingerprints are joined, and
-each hit is extended to the windows of words around it, which are compared as
-text, so that no hash decides a result.
+the same fingerprint: no shared span is missed. A bit map of the items'
+fingerprints, broadcast by a join, leaves few windows of a document; these are
+joined with the items' windows by fingerprint and words, so that no hash
+decides a result. Texts are read once and never shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +20,10 @@ from .textops import ALNUM_WORDS, ascii_lower, grams, hashes, let, words
 
 WINDOW = 10
 GRAM = 5
-#: Item windows up to this many are joined by broadcast (8 bytes of fingerprint each), more by a shuffle.
+#: Item windows up to this many are joined by broadcast, more by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Bits of the map for each item window, and in all. A fuller map lets more windows through to the join and changes no result.
+MAP_SHARE, MAP_BITS = 32, 1 << 24
 
 
 def item_words(text: Column) -> Column:
@@ -44,10 +49,39 @@ def _own(gram_hashes: Column, n: int) -> Column:
     return F.transform(gram_hashes, lambda h: F.xxhash64(h, F.lit(n)))
 
 
-def _hit_windows(prints: Column, n: int) -> Column:
-    """(len, start, fp) of the windows whose fingerprint is among ``_fps``."""
-    all_ = F.transform(prints, lambda x, i: F.struct(F.lit(n).alias("len"), (i + 1).cast("int").alias("start"), x.alias("fp")))
-    return F.filter(all_, lambda s: F.array_contains("_fps", s["fp"]))
+def _probes(fp: Column, bits: int) -> tuple[Column, Column]:
+    """Two places in a map of 2**n bits."""
+    return fp.bitwiseAND(bits - 1), F.shiftrightunsigned(fp, 32).bitwiseAND(bits - 1)
+
+
+def fingerprint_map(fps: DataFrame, bits: int) -> DataFrame:
+    """One row: ``_map``, an array of bits / 64 numbers in which both probes of each fingerprint are set."""
+    places = fps.select(F.explode(F.array(*_probes(F.col("fp"), bits))).alias("at"))
+    set_ = places.groupBy(F.shiftright("at", 6).alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at").bitwiseAND(63).cast("int"))).alias("v"))
+    slots = fps.sparkSession.range(bits // 64).join(set_, F.col("id") == F.col("slot"), "left").select("id", F.coalesce("v", F.lit(0).cast("bigint")).alias("v"))
+    return slots.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda s: s["v"]).alias("_map"))  # at most MAP_BITS / 64 rows
+
+
+def _in_map(fp: Column, bits: int) -> Column:
+    return F.forall(F.array(*_probes(fp, bits)), lambda at: F.getbit(F.element_at("_map", (F.shiftright(at, 6) + 1).cast("int")), at.bitwiseAND(63).cast("int")) == 1)
+
+
+def _near(w: Column, short: list[int], window: int, gram: int, bits: int) -> Column:
+    """(len, start, fp, words) of the windows of ``w`` whose fingerprint is in the map."""
+    kind = "array<struct<len:int,start:int,fp:bigint,words:array<string>>>"
+
+    def of_length(n: int, prints: Column) -> Column:
+        def some(few: Column) -> Column:
+            all_ = F.transform(prints, lambda x, i: F.struct(F.lit(n).alias("len"), (i + 1).cast("int").alias("start"), x.alias("fp")))
+            here = F.filter(all_, lambda s: F.array_contains(few, s["fp"]))
+            return F.when(F.size(few) > 0, F.transform(here, lambda s: F.struct(s["len"].alias("len"), s["start"].alias("start"), s["fp"].alias("fp"), F.slice(w, s["start"], s["len"]).alias("words")))).otherwise(F.array().cast(kind))
+
+        return let(F.filter(F.array_distinct(prints), lambda x: _in_map(x, bits)), some)
+
+    def bound(n: int) -> Callable[[Column], Column]:
+        return lambda prints: of_length(n, prints)
+
+    return let(hashes(w), lambda h: F.concat(*[let(p, bound(n)) for n, p in _prints(h, short, window, gram)]))
 
 
 def item_windows(items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -75,31 +109,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     targets = item_windows(items, window, gram)
     seen = targets.groupBy("len").agg(F.count("*").alias("n")).collect()  # at most `window` rows
     short = sorted(r["len"] for r in seen if r["len"] < window)
-    small = sum(r["n"] for r in seen) <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda df: df)
-
-    base = docs.select("doc_id", "text", F.xxhash64("text").alias("_t"))
-    prints = base.select(
-        "doc_id", "_t",
-        F.explode(let(hashes(item_words(F.col("text"))), lambda h: F.array_distinct(F.concat(*[p for _, p in _prints(h, short, window, gram)])))).alias("fp"),
-    )
-    hits = prints.join(hint(targets.select("fp").distinct()), "fp").groupBy("doc_id", "_t").agg(F.collect_set("fp").alias("_fps"))
-
-    hit = hits.select(F.col("doc_id").alias("_d"), F.col("_t").alias("_h"), "_fps")
-    both = base.join(hit, base["doc_id"].eqNullSafe(hit["_d"]) & (base["_t"] == hit["_h"]), "left")
-
-    def near(w: Column) -> Column:
-        """The windows of a document whose fingerprint was hit."""
-
-        def of_length(h: Column) -> Column:
-            return F.concat(*[_hit_windows(p, n) for n, p in _prints(h, short, window, gram)])
-
-        found = let(hashes(w), of_length)
-        return F.transform(found, lambda s: F.struct(s["len"].alias("len"), s["start"].alias("start"), s["fp"].alias("fp"), F.slice(w, s["start"], s["len"]).alias("words")))
-
-    type_ = "array<struct<len:int,start:int,fp:bigint,words:array<string>>>"
-    state = let(item_words(F.col("text")), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), F.when(F.col("_fps").isNotNull(), near(w)).otherwise(F.array().cast(type_)).alias("near")))
-    rows = both.select("doc_id", "_t", state.alias("s")).select("doc_id", "_t", "s.n_words", F.explode_outer("s.near").alias("c"))
+    hint = F.broadcast if sum(r["n"] for r in seen) <= BROADCAST_ROWS else (lambda df: df)
+    n_windows = sum(r["n"] for r in seen)
+    bits = 1 << min(MAP_BITS.bit_length() - 1, max(10, (MAP_SHARE * n_windows).bit_length()))
+    marks = fingerprint_map(targets.select("fp").distinct(), bits).withColumn("_key", F.lit(0).cast("bigint"))
+    # every row meets the one row of the map; the key is computed, so that the join stays an equi-join
+    base = docs.select("doc_id", "text", F.xxhash64("text").alias("_t")).withColumn("_key", F.pmod(F.col("_t"), F.lit(1).cast("bigint")))
+    base = base.join(F.broadcast(marks), "_key")
+    state = let(item_words(F.col("text")), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), _near(w, short, window, gram, bits).alias("near")))
+    rows = base.select("doc_id", "_t", state.alias("s")).select("doc_id", "_t", "s.n_words", F.explode_outer("s.near").alias("c"))
     rows = rows.select("doc_id", "_t", "n_words", "c.len", "c.start", "c.fp", "c.words")
     by_item = hint(targets.groupBy("fp", "len", "words").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids")))
     keys = [rows[c] == by_item[c] for c in ("fp", "len", "words")]
