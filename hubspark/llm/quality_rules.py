@@ -177,17 +177,19 @@ def learn(rows: list[dict], features=FEATURES, max_tests: int = 4, least: int =
 
 
 def labelled(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> list[dict]:
-    """Statistics of at most ``bound`` labelled documents that pass the base rules.
+    """Statistics of at most ``bound`` labelled documents that pass the base rules, in order of doc_id.
 
-    A doc_id with several labels takes the least; null labels do not count.
+    A doc_id with several labels takes the least; null labels do not count; of
+    repeated rows of a doc_id one, the least text, is used.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select(F.col("doc_id").alias("_d"), "quality")
-    # the joined side has at most `bound` rows of 12 bytes
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select(F.col("doc_id").alias("_d"), (F.col("quality") == 0).alias("_bad"))
+    # the joined side has at most `bound` rows of 12 bytes, and so have the texts that are gathered
     part = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_d"))
-    stats = statistics(part.select("doc_id", "text")).where("not base_failed")
-    out = stats.join(F.broadcast(some), F.col("doc_id") == F.col("_d")).select("doc_id", (F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)) > 0).alias("part"), *FEATURES)
-    return sorted((r.asDict() for r in out.limit(2 * bound).collect()), key=lambda r: (r["doc_id"], *[r[f] for f in FEATURES]))
+    part = part.groupBy("doc_id", "_bad").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    stats = statistics(part, F.col("_bad")).where("not base_failed")
+    rows = stats.select("doc_id", F.col("_carried0").alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)) > 0).alias("part"), *FEATURES)
+    return sorted((r.asDict() for r in rows.collect()), key=lambda r: r["doc_id"])
 
 
 def first_rule(rules: list[Rule]) -> Column:
