@@ -17,7 +17,7 @@ from .components import components
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 #: Query parameters that do not change the page.
-TRACKING = r"(?i)(utm_[a-z]+|ref|fbclid|gclid)=[^&#]*&?"
+TRACKING = r"(?i)(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
 
 
 def host(url: Column) -> Column:
@@ -43,7 +43,7 @@ def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
 def spelling(url: Column) -> Column:
     """The key that all spellings of one address share; null for what is no URL."""
     query = F.regexp_replace(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), TRACKING, "")
-    query = F.regexp_replace(query, "&$", "")
+    query = F.regexp_replace(query, "^&+|&+$", "")
     p = F.regexp_replace(path(url), "/+$", "")
     key = F.concat(F.regexp_replace(host(url), r"^www\.", ""), p, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     return F.when(url.contains("://"), key)
@@ -69,18 +69,28 @@ def resolved(base: Column, to: Column) -> Column:
     )
 
 
+#: Tags that may name another address of a page, what marks them, and where the address is. RE2 knows these patterns too.
+TAGS = (
+    (r"(?is)<link\b[^>]*>", r"(?is)\brel\s*=\s*[\"']?\s*canonical", r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"),
+    (r"(?is)<meta\b[^>]*>", r"(?is)\bhttp-equiv\s*=\s*[\"']?\s*refresh", r"(?is)\bcontent\s*=\s*[\"'][^\"'>]*?url\s*=\s*[\"']?\s*([^\"'\s>]+)"),
+)
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(a, b, to): spelling keys of each page and of the address its canonical link or refresh redirect names, and that address."""
-    tag = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical)[^>]*\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
-    refresh = r"(?is)<meta\b(?=[^>]*http-equiv\s*=\s*[\"']?refresh)[^>]*\bcontent\s*=\s*[\"'][^\"'>]*?url\s*=\s*[\"']?\s*([^\"'\s>]+)"
+    """(a, b, to): spelling keys of each page and of each address that its canonical links and refresh redirects name, and that address."""
     html = F.col("html")
-    found = pages.where(html.rlike("(?i)canonical|http-equiv")).select("url", F.explode(F.array(F.regexp_extract(html, tag, 1), F.regexp_extract(html, refresh, 1))).alias("to"))
+
+    def named(tag: str, mark: str, address: str) -> Column:
+        marked = F.filter(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: t.rlike(mark))
+        return F.transform(marked, lambda t: F.regexp_extract(t, address, 1))
+
+    found = pages.where(html.rlike("(?i)canonical|http-equiv")).select("url", F.explode(F.concat(*[named(*t) for t in TAGS])).alias("to"))
     found = found.where("to <> ''").select("url", resolved(F.col("url"), F.col("to")).alias("to"))
     return found.select(spelling(F.col("url")).alias("a"), spelling(F.col("to")).alias("b"), "to").where("a is not null and b is not null")
 
 
 def link_targets(pages: DataFrame) -> DataFrame:
-    """(a, b): spelling keys of each page and of the address its canonical link or refresh redirect names."""
+    """(a, b): spelling keys of each page and of the addresses it names."""
     return links(pages).select("a", "b").where("a <> b")
 
 
@@ -89,8 +99,9 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
 
     A page's own rule decides. Without one, its alias class does: allow if any
     member is explicitly allowed, else block if any is blocked, else allow.
-    Addresses that links name are members, whether they are pages or not. Null urls and those without ``://`` have empty host and path, no class, and
-    are allowed; repeated rows are judged alike, one by one; extra columns are
+    All addresses that a page's canonical links and refresh redirects name are
+    members, whether they are pages or not. Null urls and those without
+    ``://`` have empty host and path, no class, and are allowed; repeated rows are judged alike, one by one; extra columns are
     ignored. A class is summed before the shuffle, so one that holds a third
     of all pages is no hot task.
     """
@@ -114,27 +125,63 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     )
 
 
-#: The same over DuckDB; links are followed by a recursive walk from each class key.
-ORACLE_SQL = r"""
-WITH RECURSIVE p AS (
-  SELECT page_id, url, html,
-    coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
-    regexp_replace(regexp_replace(regexp_extract(url, '\?([^#]*)', 1, 's'), '(utm_[a-z]+|ref|fbclid|gclid)=[^&#]*&?', '', 'gi'), '&$', '') AS q
-  FROM pages
-), k AS (
-  SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS alias_class,
-    CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+def _oracle() -> str:
+    """The same over DuckDB: links are read, resolved and walked to classes.
+
+    It resolves whole, host-relative and path-relative addresses; steps like
+    ``../`` are left to the tests.
+    """
+    parts = lambda url: (
+        f"coalesce(translate(regexp_extract({url}, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')",
+        f"coalesce(regexp_extract({url}, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')",
+        f"regexp_replace(regexp_replace(regexp_extract({url}, '\\?([^#]*)', 1, 's'), '{TRACKING[4:]}', '', 'gi'), '^&+|&+$', '', 'g')",
+    )
+    key = "CASE WHEN contains(url, '://') THEN regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN q <> '' THEN '?' || q ELSE '' END END"
+    rule = """CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
          WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
          WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
-         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
-  FROM p
+         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END"""
+    h, p, q = parts("url")
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    tags = " UNION ALL ".join(
+        f"SELECT url, regexp_extract(t, {quoted(address)}, 1) AS link FROM (SELECT url, unnest(regexp_extract_all(html, {quoted(tag)})) AS t FROM pages WHERE regexp_matches(html, '(?i)canonical|http-equiv')) WHERE regexp_matches(t, {quoted(mark)})"
+        for tag, mark, address in TAGS
+    )
+    return f"""
+WITH RECURSIVE k AS (
+  SELECT *, {key} AS key, {rule} AS rule FROM (SELECT page_id, url, {h} AS host, {p} AS path, {q} AS q FROM pages)
+), raw AS (
+  SELECT url AS page, replace(trim(link), '&amp;', '&') AS link, regexp_extract(url, '^.*?://[^/?#]*', 0, 's') AS origin, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS own FROM ({tags}) WHERE link <> '' AND contains(url, '://')
+), named AS (
+  SELECT page, CASE
+    WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.\\-]*://') THEN link
+    WHEN starts_with(link, '//') THEN regexp_extract(page, '^(.*?:)//', 1, 's') || link
+    WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN NULL
+    WHEN starts_with(link, '/') THEN origin || link
+    WHEN starts_with(link, '?') THEN origin || own || link
+    WHEN starts_with(link, '#') THEN page
+    ELSE origin || CASE WHEN own = '' THEN '/' ELSE regexp_extract(own, '^.*/', 0, 's') END || link END AS url
+  FROM raw
+), targets AS (
+  SELECT page, url, {rule} AS rule, {key} AS key FROM (SELECT page, url, {h} AS host, {p} AS path, {q} AS q FROM named WHERE url IS NOT NULL)
+), edges AS (
+  SELECT DISTINCT k.key AS a, t.key AS b FROM targets t JOIN k ON k.url = t.page WHERE k.key IS NOT NULL AND t.key IS NOT NULL AND k.key <> t.key
+), walk(a, b) AS (
+  SELECT a, b FROM edges UNION SELECT b, a FROM edges UNION SELECT w.a, CASE WHEN e.a = w.b THEN e.b ELSE e.a END FROM walk w JOIN edges e ON w.b IN (e.a, e.b)
+), classes AS (SELECT a, min(least(a, b)) AS class FROM walk GROUP BY a
+), linked AS (SELECT k.*, coalesce(classes.class, k.key) AS alias_class FROM k LEFT JOIN classes ON k.key = classes.a
+), ruled AS (
+  SELECT alias_class, rule FROM linked WHERE alias_class IS NOT NULL
+  UNION ALL SELECT coalesce(classes.class, t.key), t.rule FROM targets t LEFT JOIN classes ON t.key = classes.a WHERE t.key IS NOT NULL
 ), c AS (
-  SELECT alias_class, bool_or(rule IN ('example.net/en/', 'org/fr/')) AS allowed FROM k WHERE rule IS NOT NULL AND alias_class IS NOT NULL GROUP BY 1
+  SELECT alias_class, bool_or(rule IN ('example.net/en/', 'org/fr/')) AS allowed FROM ruled WHERE rule IS NOT NULL GROUP BY 1
 )
-SELECT k.page_id, k.host, k.path, k.rule,
-  CASE WHEN k.rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN k.rule IS NOT NULL THEN 'block' WHEN c.allowed THEN 'allow' WHEN NOT c.allowed THEN 'block' ELSE 'allow' END AS verdict,
-  k.alias_class,
-  CASE WHEN k.rule IS NOT NULL THEN 'rule' WHEN c.allowed IS NOT NULL THEN 'alias' ELSE 'default' END AS "by"
-FROM k LEFT JOIN c ON k.alias_class = c.alias_class
+SELECT l.page_id, l.host, l.path, l.rule,
+  CASE WHEN l.rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN l.rule IS NOT NULL THEN 'block' WHEN c.allowed THEN 'allow' WHEN NOT c.allowed THEN 'block' ELSE 'allow' END AS verdict,
+  l.alias_class,
+  CASE WHEN l.rule IS NOT NULL THEN 'rule' WHEN c.allowed IS NOT NULL THEN 'alias' ELSE 'default' END AS "by"
+FROM linked l LEFT JOIN c ON l.alias_class = c.alias_class
 """
+
+
+ORACLE_SQL = _oracle()

@@ -128,6 +128,75 @@ def test_links_to_addresses_that_are_no_pages(spark):
     }
 
 
+def page_classes(rows):
+    """(page_id, host, path, rule, verdict, by) by union-find over whole, host-relative and path-relative links."""
+    from urllib.parse import urljoin
+
+    def split(url):
+        if url is None or "://" not in url:
+            return "", "", None
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        query = rest.split("#", 1)[0].partition("?")[2]
+        kept = "&".join(x for x in query.split("&") if not re.match(r"(utm_[a-z]+|ref|fbclid|gclid)=", x, re.IGNORECASE)).strip("&")
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+        return host, path, re.sub(r"^www\.", "", host) + path.rstrip("/") + (f"?{kept}" if kept else "")
+
+    def ruled(host, path):
+        fits = [(what, h + p) for what, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits, key=lambda r: len(r[1])) if fits else (None, None)
+
+    parent, own = {}, {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    members = []
+    for _, url, html in rows:
+        host, path, key = split(url)
+        if key is None:
+            continue
+        members.append((key, ruled(host, path)[0]))
+        for to in re.findall(r"(?:href=|url=)'?([^'\">]+)", html or ""):
+            h, p, other = split(urljoin(url, to))
+            members.append((other, ruled(h, p)[0]))
+            parent[find(other)] = find(key)
+    for key, verdict in members:
+        own.setdefault(find(key), set()).add(verdict)
+    for i, url, _ in rows:
+        host, path, key = split(url)
+        verdict, rule = ruled(host, path)
+        said = own.get(find(key), set()) - {None} if key is not None else set()
+        by = "rule" if verdict else "alias" if said else "default"
+        yield i, host, path, rule, verdict or ("block" if said == {"block"} else "allow"), by
+
+
+def test_linked_pages_in_spark_sql_and_by_union_find(spark):
+    import duckdb
+    import pandas as pd
+
+    rnd = random.Random(9)
+    hosts = ["plain.com", "www.plain.com", "a.org", "evil.net", "example.com", "x.example.net", "other.io", "third.io"]
+    address = lambda: f"http://{rnd.choice(hosts)}/{rnd.choice(['de', 'en', 'fr', 'x'])}/{rnd.randrange(40)}{rnd.choice(['', '/', '?p=1', '?pref=2', '?ref=2', '?a=1&utm_source=x', '#f'])}"
+    to = lambda: rnd.choice([address(), address(), f"/fr/{rnd.randrange(9)}", f"//evil.net/{rnd.randrange(9)}", f"y{rnd.randrange(9)}", "?q=3"])
+    rows = []
+    for i in range(400):
+        tags = [f"<link rel='canonical' href='{to()}'>", f'<meta http-equiv="refresh" content="0; url={to()}">', f"<link rel='stylesheet' data='{to()}'>"]
+        rows.append((i, address(), "".join(rnd.choice(tags) for _ in range(rnd.choice([0, 0, 0, 1, 1, 2])))))
+    rows += [(400, None, "x"), (401, "no scheme", tags[0]), (402, "http://long.io/" + "a" * 20_000, None), (402, "http://long.io/" + "a" * 20_000, None)]
+    out = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = sorted(tuple(r[c] for c in ("page_id", "host", "path", "rule", "verdict", "by")) for r in out)
+    assert got == sorted(page_classes(rows))
+    assert {r["by"] for r in out} == {"rule", "alias", "default"}
+    with duckdb.connect() as db:
+        db.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+        answer = db.execute(url_filter.ORACLE_SQL).fetchall()
+    assert sorted(map(tuple, out), key=str) == sorted(answer, key=str)
+
+
 def test_licenses(spark):
     mit = next(t for n, t in license_scan.KNOWN if n == "MIT" and len(t) > 300)
     texts = [None, "", "nothing here", "Some prose.\n  RELEASED under the MIT Licence!\nmore", "MIT License\n\nCopyright (c) 2001 Somebody\n" + mit.upper().replace(" ", "  "), "Released under the MIT License. Not quite"]
