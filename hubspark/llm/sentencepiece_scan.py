@@ -38,6 +38,9 @@ LOW = -(1 << 50)
 #: Score of a byte piece: below that of any path of other pieces over the same character.
 BYTE_SCORE = -40_000
 
+#: Cost of each piece besides its rank's; with it most words get the pieces that merging gives.
+PIECE_COST = 5_000
+
 _T, _P = constants(41, 256), constants(43, 256)
 
 
@@ -75,7 +78,9 @@ def load(path: str = MODEL) -> Vocabulary:
     """The vocabulary of a SentencePiece model file.
 
     The public file is a BPE model: its scores are merge ranks, not log
-    probabilities. A piece of rank r has the score -1000 ln(r + 2), Zipf's law.
+    probabilities, and no additive score gives the greedy merges. A piece of
+    rank r has the score -1000 ln(r + 2), Zipf's law, less PIECE_COST, which
+    prefers few pieces as merging does.
     """
     import sentencepiece
 
@@ -93,7 +98,7 @@ def load(path: str = MODEL) -> Vocabulary:
             body = text.replace("▁", " ").encode()
             if b" " in body.lstrip(b" "):
                 raise ValueError("a piece has a space after another character; stretches between spaces would not be independent")
-            pieces.append((body, -round(1000 * float(np.log(plain + 2)))))
+            pieces.append((body, -round(1000 * float(np.log(plain + 2))) - PIECE_COST))
             plain += 1
     return vocabulary(pieces, byte_ids)
 
@@ -228,18 +233,24 @@ def reduce_all(m: np.ndarray) -> np.ndarray:
 
 
 def routes(m: list[np.ndarray], entry: int, leave: int) -> list[tuple[int, int]]:
-    """(entry, exit) of each matrix on the best path; of equally good ones the one with the least entry."""
-    row = np.full(m[0].shape[0], LOW, dtype=np.int64)
-    row[entry] = 0
-    rows = [row]
-    for x in m:
-        rows.append(np.maximum((rows[-1][:, None] + x).max(axis=0), LOW))
-    out = []
-    for row, x in zip(reversed(rows[:-1]), reversed(m), strict=True):
-        came = int(np.argmax(row + x[:, leave]))
-        out.append((came, leave))
-        leave = came
-    return out[::-1]
+    """(entry, exit) of each matrix on the best path; of equally good places the least is taken.
+
+    A tree: products of neighbours up to the root, then the place between the
+    halves of each node, all nodes of a level at once.
+    """
+    levels = [np.stack(m)]
+    while len(levels[-1]) > 1:
+        x = levels[-1]
+        even = len(x) // 2 * 2
+        levels.append(np.concatenate((combine(x[0:even:2], x[1:even:2]), x[even:])))
+    came, left = np.array([entry]), np.array([leave])
+    for x in reversed(levels[:-1]):
+        n = len(x) // 2
+        at = np.arange(n)
+        between = (x[0 : 2 * n : 2][at, came[:n], :] + x[1 : 2 * n : 2][at, :, left[:n]]).argmax(axis=1)
+        odd = slice(n, len(came))  # a node without a partner is its own parent
+        came, left = (np.concatenate((np.stack(pair, axis=1).ravel(), rest)) for pair, rest in (((came[:n], between), came[odd]), ((between, left[:n]), left[odd])))
+    return list(zip(came.tolist(), left.tolist(), strict=True))
 
 
 def sure_bounds(data: np.ndarray) -> np.ndarray:
