@@ -197,17 +197,52 @@ def test_linked_pages_in_spark_sql_and_by_union_find(spark):
     assert sorted(map(tuple, out), key=str) == sorted(answer, key=str)
 
 
+def wrapped(text, width, before=""):
+    import textwrap
+
+    return "\n".join(before + line for line in textwrap.wrap(text, width))
+
+
 def test_licenses(spark):
-    mit = next(t for n, t in license_scan.KNOWN if n == "MIT" and len(t) > 300)
-    texts = [None, "", "nothing here", "Some prose.\n  RELEASED under the MIT Licence!\nmore", "MIT License\n\nCopyright (c) 2001 Somebody\n" + mit.upper().replace(" ", "  "), "Released under the MIT License. Not quite"]
-    docs = docs_of(spark, [*texts, "released under the mit license\n" * 3])
-    got = {(r["doc_id"], r["license"], r["scope"], r["n_lines"]) for r in license_scan.scan_licenses(docs, license_scan.known_digests(spark)).collect()}
-    assert got == {(3, "MIT", "line", 1), (6, "MIT", "line", 3)} | {x for x in got if x[0] == 4}
-    assert license_scan.scan_licenses(docs.limit(0), license_scan.known_digests(spark)).count() == 0
+    import duckdb
+    import pandas as pd
+
+    full = {n: t for n, t in license_scan.KNOWN if len(license_scan.canonical_text(t)) >= license_scan.LONG}
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "Zlib", "MPL-2.0", "GPL-3.0-or-later"} <= set(full)
+    texts = [None, "", "nothing here", "Some prose.\n  RELEASED under the MIT Licence!\nmore", "Released under the MIT License. Not quite", "released under the mit license\n" * 3, "The MIT License"]
+    want = {(3, "MIT", "line", 1), (5, "MIT", "line", 3)}
+    for name, text in full.items():
+        files = [wrapped(text, 72), wrapped(text, 50), f"The MIT License (MIT)\n\nCopyright (c) 2001-2004 Somebody\nAll rights reserved.\n\n{wrapped(text, 60)}\n", wrapped("Copyright 2001 A. Body\n", 70) + "\n" + wrapped(text.upper().replace(" ", "  "), 65, " * ")]
+        want |= {(len(texts) + k, name, "text", 1) for k in range(len(files))}
+        texts += files
+        want |= {(len(texts), name, "part", 2)}
+        texts.append("Some words before.\n" + wrapped(text, 44, "// ") + "\n\n" + wrapped(text, 80) + "\nand words after " * 3000)
+        texts.append(wrapped(text, 70)[:-9] + "x")  # not quite
+    mit = full["MIT"]
+    want |= {(len(texts), "MIT", "text", 1), (len(texts), "MIT", "line", 1)}
+    texts.append(mit)
+    docs = docs_of(spark, texts)
+    got = [tuple(r) for r in license_scan.scan_licenses(docs).collect()]
+    assert len(got) == len(set(got))
+    # a text that holds a shorter known one as its own words has that one as a part too
+    inner = {x for x in got if x[2] != "line" and any(x[0] == w[0] and license_scan.canonical_text(full[x[1]]) in license_scan.canonical_text(full[w[1]]) and x[1] != w[1] for w in want if w[1] in full)}
+    one_line = {x for x in got if x[2] == "line" and x[1] in full}
+    assert set(got) - inner - one_line == want - one_line
+    with duckdb.connect() as db:
+        db.register("documents", pd.DataFrame(list(enumerate(texts)), columns=["doc_id", "text"]))
+        assert sorted(got) == sorted(db.execute(license_scan.ORACLE_SQL).fetchall())
+    twice = [tuple(r) for r in license_scan.scan_licenses(docs.union(docs)).collect()]
+    assert sorted(twice) == sorted((d, n, s, 2 * k) for d, n, s, k in got)
+    assert license_scan.scan_licenses(docs.limit(0)).count() == 0
     with pytest.raises(ValueError, match="HINT"):
         license_scan.known_digests(spark, [("X", "do what you like")])
-    bare = docs_of(spark, ["Copyright 2001 Somebody\n" + mit.lower()])
-    assert [r["scope"] for r in license_scan.scan_licenses(bare, license_scan.known_digests(spark)).collect()] in (["text"], ["text", "line"], ["line", "text"])
+    same = license_scan.scan_licenses(docs_of(spark, ["Free licence for all."]), [("B", "free license for all"), ("A", "Free License, for all")]).collect()
+    assert {(r["license"], r["scope"]) for r in same} == {("A", "text"), ("A", "line")}
+
+
+def test_canonical_forms_of_both_kinds(spark):
+    rows = spark.createDataFrame([(t,) for _, t in license_scan.KNOWN], "t string").select("t", license_scan.canonical(license_scan.F.col("t")).alias("c")).collect()
+    assert all(license_scan.canonical_text(r["t"]) == r["c"] for r in rows)
 
 
 def base_of(text):
