@@ -302,23 +302,25 @@ def node_entropy(k: np.ndarray, n: int) -> np.ndarray:
     return np.where(inside, -(q * np.log2(q) + (1 - q) * np.log2(1 - q)), (1 + np.log2(n)) / n)
 
 
-def louvain(g: Csr, tol: float = 1e-12, levels: int = 20) -> np.ndarray:
-    """Weighted multilevel clustering: nodes move to the best neighbouring community in id order until none gains, then communities become nodes."""
+def louvain(g: Csr, tol: float = 1e-9) -> np.ndarray:
+    """Weighted multilevel clustering: nodes move to the best neighbouring community in id order until none gains, then communities become nodes.
+
+    Each move gains more than ``tol`` of an edge's weight and each level has fewer nodes, so it ends.
+    """
     place = np.arange(g.n)
     src, dst, w = g.src, g.dst, g.w
     if g.two_w <= 0:
         return place
     n, two_w = g.n, g.two_w
-    for _ in range(levels):
+    while True:
         order = np.argsort(src, kind="stable")
         s, d, x = src[order], dst[order], w[order]
         start = np.searchsorted(s, np.arange(n + 1))
         k = np.bincount(s, weights=x, minlength=n)
         com, vol = np.arange(n), k.copy()
         moved_any = True
-        rounds = 0
-        while moved_any and rounds < 100:
-            moved_any, rounds = False, rounds + 1
+        while moved_any:
+            moved_any = False
             for v in range(n):
                 near, wt = d[start[v] : start[v + 1]], x[start[v] : start[v + 1]]
                 other = near != v

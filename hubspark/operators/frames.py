@@ -19,8 +19,14 @@ def palette(n: int) -> list[str]:
     return ["#" + "".join(f"{round(255 * c):02x}" for c in colorsys.hls_to_rgb(i / max(n, 1), 0.55, 0.6)) for i in range(n)]
 
 
+#: The layout holds all distances at once: 16 bytes for each two nodes.
+MAX_DRAWN = 5_000
+
+
 def layout(graph: Graph, steps: int = 60, seed: int = 1) -> dict[int, tuple[float, float]]:
     """Force-directed places on the unit square, for graphs small enough to draw."""
+    if graph.nodes.limit(MAX_DRAWN + 1).count() > MAX_DRAWN:
+        raise ValueError(f"at most {MAX_DRAWN} nodes can be drawn; take a subgraph")
     g = collect(graph, 200_000)
     n = g.n
     xy = np.array([[uniform_of(seed, "x", int(i)), uniform_of(seed, "y", int(i))] for i in g.ids])

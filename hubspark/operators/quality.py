@@ -42,21 +42,24 @@ def contributions(graph: Graph, m: DataFrame, by: By = ()) -> DataFrame:
     return community_sums(graph, m, by).select(*by, "community", F.when(F.col("two_w") > 0, F.col("intra") / F.col("two_w") - share * share).otherwise(0.0).alias("q_contribution"))
 
 
-def affinity(graph: Graph, m: DataFrame) -> DataFrame:
-    """id, community, s: weight of the node into each community less what its strength would give it."""
+def affinity(graph: Graph, m: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """id, community, s: weight of the node into each community less what its strength would give it; ``only`` for the nodes (id) given."""
     strength = graph.strength()
     two_w = strength.agg(F.sum("strength").alias("two_w"))
     vol = m.join(strength, "id").groupBy("community").agg(F.sum("strength").alias("vol"))
-    into = ends(graph, m).groupBy(F.col("src").alias("id"), F.col("cd").alias("community")).agg(F.sum("w").alias("e"))
+    each, near = strength.select("id", "strength"), ends(graph, m).withColumnRenamed("src", "id")
+    if only is not None:
+        each, near = (df.join(only.select("id"), "id", "left_semi") for df in (each, near))
+    into = near.groupBy("id", F.col("cd").alias("community")).agg(F.sum("w").alias("e"))
     # every node meets every community: nodes x communities is the result's own size
-    grid = strength.select("id", "strength").crossJoin(F.broadcast(vol)).crossJoin(F.broadcast(two_w))
+    grid = each.crossJoin(F.broadcast(vol)).crossJoin(F.broadcast(two_w))
     null_term = F.when(F.col("two_w") > 0, F.col("strength") * F.col("vol") / F.col("two_w")).otherwise(0.0)
     return grid.join(into, ["id", "community"], "left").select("id", "community", (F.coalesce("e", F.lit(0.0)) - null_term).alias("s"), "strength", "two_w")
 
 
-def gains(graph: Graph, m: DataFrame) -> DataFrame:
+def gains(graph: Graph, m: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """id, current, target, gain: change of modularity if the node moves; 0 for its own community."""
-    s = affinity(graph, m)
+    s = affinity(graph, m, only)
     own = s.join(m, ["id", "community"]).select("id", F.col("community").alias("current"), F.col("s").alias("s_own"))
     move = (F.col("s") - F.col("s_own") - F.col("strength") * F.col("strength") / F.col("two_w")) / (F.col("two_w") / 2)
     return s.join(own, "id").select("id", "current", F.col("community").alias("target"), F.when(F.col("community") == F.col("current"), 0.0).otherwise(move).alias("gain"))
@@ -150,6 +153,12 @@ def size_stats(m: DataFrame, by: By = ()) -> DataFrame:
     )
 
 
+def central_leaders(m: DataFrame, central: DataFrame) -> DataFrame:
+    """community, leader: the node of the greatest score (id, score) over the whole graph, least id on ties; for partitions that come without leaders."""
+    s = central.select("id", F.round("score", 12).alias("score"))  # the last digits depend on the order of sums
+    return m.join(s, "id").groupBy("community").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("leader"))
+
+
 def top_degree_leaders(graph: Graph, m: DataFrame, by: By = ()) -> DataFrame:
     """by, community, leader: the node of greatest strength, least id on ties."""
     s = graph.strength().select("id", "strength")

@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -81,14 +81,18 @@ def permutation_test(df: DataFrame, b: int, seed: int = 1, group: str = "group",
     return diffs.agg(F.max("diff").alias("diff"), p.alias("p"))
 
 
+#: There are so many letters.
+MAX_GROUPS = 52
+
+
 def letters(groups: list[str], p: dict[tuple[str, str], float], alpha: float = 0.05, strict: bool = False) -> dict[str, str]:
     """Compact letters: groups that do not differ share one.
 
     A group joins the first letter whose last member it does not differ from;
     so 1~2, 2~3 with 1 and 3 different still share one. ``strict`` compares with all members.
     """
-    if len(groups) > 52:
-        raise ValueError("at most 52 groups")
+    if len(groups) > MAX_GROUPS:
+        raise ValueError(f"at most {MAX_GROUPS} groups")
     differ = lambda a, b: p.get((a, b), p.get((b, a), 1.0)) <= alpha
     sets: list[list[str]] = []
     for g in groups:
@@ -113,9 +117,9 @@ class GroupTest:
 
 def kruskal_then_permute(df: DataFrame, b: int = 10_000, alpha: float = 0.05, seed: int = 1) -> GroupTest:
     """Rank test over (key, group, value); if it rejects, all pairs by permutation with Bonferroni's correction."""
-    groups = [r["group"] for r in df.select("group").distinct().orderBy("group").limit(53).collect()]
-    if len(groups) < 2:
-        raise ValueError("at least two groups are needed")
+    groups = [r["group"] for r in df.select("group").distinct().orderBy("group").limit(MAX_GROUPS + 1).collect()]
+    if not 2 <= len(groups) <= MAX_GROUPS:
+        raise ValueError(f"from two to {MAX_GROUPS} groups are needed")
     row = kruskal(df).first()
     p = 1.0 if row["h"] is None else chi2_tail(row["h"], row["df"])
     if p > alpha:
@@ -167,6 +171,28 @@ def least_squares(df: DataFrame, columns: list[str], target: str) -> dict[str, d
     return {c: {"estimate": float(e), "se": float(s), "t": float(e / s) if s > 0 else float("inf")} for c, e, s in zip(["intercept", *columns], beta, se, strict=True)}
 
 
+def anova(df: DataFrame, group: str = "group", value: str = "value") -> DataFrame:
+    """One row: between, within (sums of squares), df1, df2 and f of a one-way analysis of variance; f is null without variance inside groups."""
+    per = df.groupBy(group).agg(F.count("*").alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
+    n, s, q, k = F.sum("n"), F.sum("s"), F.sum("q"), F.count("*")
+    means = F.sum(F.col("s") * F.col("s") / F.col("n"))
+    row = per.agg((means - s * s / n).alias("between"), (q - means).alias("within"), (k - 1).alias("df1"), (n - k).alias("df2"))
+    ratio = (F.col("between") / F.col("df1")) / (F.col("within") / F.col("df2"))
+    return row.withColumn("f", F.when((F.col("within") > 0) & (F.col("df1") > 0) & (F.col("df2") > 0), ratio))
+
+
+def bonferroni(p: str, n: int) -> Column:
+    """p values of ``n`` tests, corrected."""
+    return F.least(F.lit(1.0), F.col(p) * n)
+
+
+def effect_table(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """term, estimate, se, t of a least-squares fit, greatest |t| first: one row per term of the model."""
+    fit = least_squares(df, columns, target)
+    rows = [(name, v["estimate"], v["se"], v["t"]) for name, v in fit.items()]
+    return df.sparkSession.createDataFrame(rows, "term string, estimate double, se double, t double").orderBy(F.abs("t").desc(), "term")
+
+
 def stationary_point(df: DataFrame, columns: list[str], target: str) -> dict:
     """Second-order response surface: point -B^-1 b / 2 and the eigenvalues of B."""
     wide, names = df, list(columns)

@@ -60,13 +60,13 @@ def trace(g: Graph, p: DataFrame) -> DataFrame:
 
 def prelude(least: int = 2) -> str:
     """The same as SQL: WITH and the common table expressions, without what follows."""
-    return f"""WITH RECURSIVE items AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS p FROM lineitem),
+    return f"""WITH RECURSIVE items AS MATERIALIZED (SELECT DISTINCT l_orderkey AS g, l_partkey AS p FROM lineitem),
 nodes AS (SELECT p_partkey AS id, p_name AS name, p_type AS truth, p_retailprice AS score FROM part),
-edges AS (SELECT a.p AS src, b.p AS dst, count(*)::DOUBLE AS w FROM items a JOIN items b ON a.g = b.g AND a.p < b.p GROUP BY 1, 2 HAVING count(*) >= {least}),
-adj AS (SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w FROM edges),
-strength AS (SELECT n.id, count(a.dst) AS degree, coalesce(sum(a.w), 0) AS strength FROM nodes n LEFT JOIN adj a ON a.src = n.id GROUP BY 1),
-m AS (SELECT p_partkey AS id, dense_rank() OVER (ORDER BY p_brand)::INT AS community FROM part),
-ends AS (SELECT a.src, a.dst, a.w, x.community AS cs, y.community AS cd FROM adj a JOIN m x ON x.id = a.src JOIN m y ON y.id = a.dst),
+edges AS MATERIALIZED (SELECT a.p AS src, b.p AS dst, count(*)::DOUBLE AS w FROM items a JOIN items b ON a.g = b.g AND a.p < b.p GROUP BY 1, 2 HAVING count(*) >= {least}),
+adj AS MATERIALIZED (SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w FROM edges),
+strength AS MATERIALIZED (SELECT n.id, count(a.dst) AS degree, coalesce(sum(a.w), 0) AS strength FROM nodes n LEFT JOIN adj a ON a.src = n.id GROUP BY 1),
+m AS MATERIALIZED (SELECT p_partkey AS id, dense_rank() OVER (ORDER BY p_brand)::INT AS community FROM part),
+ends AS MATERIALIZED (SELECT a.src, a.dst, a.w, x.community AS cs, y.community AS cd FROM adj a JOIN m x ON x.id = a.src JOIN m y ON y.id = a.dst),
 sums AS (SELECT v.community, v.size, v.vol, coalesce(i.intra, 0) AS intra, (SELECT sum(strength) FROM strength) AS two_w
   FROM (SELECT community, count(*) AS size, sum(strength) AS vol FROM m JOIN strength USING (id) GROUP BY 1) v
   LEFT JOIN (SELECT cs AS community, sum(w) AS intra FROM ends WHERE cs = cd GROUP BY 1) i USING (community)),

@@ -96,7 +96,7 @@ def modularity_pool(spark, sf):
     return r9(quality.modularity(parts(spark, sf), pool(spark, sf), ("iter",)), "q")
 
 
-_AFF = """, vols AS (SELECT community, vol FROM sums), aff AS (SELECT s.id, v.community, coalesce(e.e, 0) - s.strength * v.vol / t.two_w AS s, s.strength, t.two_w
+_AFF = """, vols AS (SELECT community, vol FROM sums), aff AS MATERIALIZED (SELECT s.id, v.community, coalesce(e.e, 0) - s.strength * v.vol / t.two_w AS s, s.strength, t.two_w
  FROM strength s CROSS JOIN vols v CROSS JOIN (SELECT sum(strength) AS two_w FROM strength) t
  LEFT JOIN (SELECT src, cd, sum(w) AS e FROM ends GROUP BY 1, 2) e ON e.src = s.id AND e.cd = v.community)
 """
@@ -107,7 +107,7 @@ def affinity_matrix(spark, sf):
     return r9(quality.affinity(parts(spark, sf), brands(spark, sf)), "s").select("id", "community", "s")
 
 
-_GAIN = """, own AS (SELECT id, community AS current, s AS s_own FROM aff JOIN m USING (id, community)), gain AS (
+_GAIN = """, own AS MATERIALIZED (SELECT id, community AS current, s AS s_own FROM aff JOIN m USING (id, community)), gain AS (
  SELECT a.id, o.current, a.community AS target, CASE WHEN a.community = o.current THEN 0 ELSE (a.s - o.s_own - a.strength * a.strength / a.two_w) / (a.two_w / 2) END AS gain FROM aff a JOIN own o USING (id))
 """
 
@@ -303,7 +303,7 @@ UNION ALL SELECT 'size_mean', 'partition', (SELECT avg(size) FROM sizes) UNION A
 UNION ALL SELECT 'n_leaders', 'leaders', (SELECT count(*) FROM leaders) UNION ALL SELECT 'leader_degree_mean', 'leaders', (SELECT avg(strength) FROM leaders JOIN strength ON id = leader) UNION ALL SELECT 'leader_degree_max', 'leaders', (SELECT max(strength) FROM leaders JOIN strength ON id = leader)
 UNION ALL SELECT 'leader_participation_mean', 'leaders', (SELECT avg(participation) FROM leaders JOIN part_ ON id = leader) UNION ALL SELECT 'h_global', 'leaders', (SELECT avg(h) FROM leaders JOIN node_h ON id = leader)
 UNION ALL SELECT 'h_local', 'leaders', (SELECT avg(CASE WHEN size > 1 AND inner_ > 0 AND inner_ < size - 1 THEN -(inner_ / (size - 1) * log2(inner_ / (size - 1)) + (1 - inner_ / (size - 1)) * log2(1 - inner_ / (size - 1))) ELSE 0 END) FROM links)
-UNION ALL SELECT 'leader_coverage', 'leaders', (SELECT count(*) / (SELECT n FROM n_all) FROM (SELECT leader AS id FROM leaders UNION SELECT dst FROM adj JOIN leaders ON src = leader))
+UNION ALL SELECT 'leaders_derived', 'leaders', 0 UNION ALL SELECT 'leader_coverage', 'leaders', (SELECT count(*) / (SELECT n FROM n_all) FROM (SELECT leader AS id FROM leaders UNION SELECT dst FROM adj JOIN leaders ON src = leader))
 UNION ALL SELECT 'score_pctile_mean', 'leader_score', (SELECT avg(spc) FROM ranked JOIN leaders ON id = leader) UNION ALL SELECT 'score_top1_rate', 'leader_score', (SELECT avg((srk <= 1)::INT) FROM ranked JOIN leaders ON id = leader) UNION ALL SELECT 'score_top3_rate', 'leader_score', (SELECT avg((srk <= 3)::INT) FROM ranked JOIN leaders ON id = leader)
 UNION ALL SELECT 'nmi', 'recovery', (SELECT 2 * (hx + hy - hxy) / (hx + hy) FROM h) UNION ALL SELECT 'ari', 'recovery', (SELECT (p - px * py / pairs) / ((px + py) / 2 - px * py / pairs) FROM h) UNION ALL SELECT 'rand', 'recovery', (SELECT (pairs + 2 * p - px - py) / pairs FROM h)
 UNION ALL SELECT 'vi', 'recovery', (SELECT 2 * hxy - hx - hy FROM h) UNION ALL SELECT 'split_join', 'recovery', (SELECT 2 * n - mx - my FROM h) UNION ALL SELECT 'n_communities_truth', 'recovery', (SELECT count(DISTINCT truth) FROM nodes)
@@ -345,9 +345,9 @@ def lex_fold(spark, sf):
     return windows.incumbent(_trace(spark, sf))
 
 
-@query("SELECT iter, id, dense_rank() OVER (PARTITION BY iter ORDER BY community)::INT AS community FROM pool WHERE community % 2 = 0")
+@query("SELECT iter, id, dense_rank() OVER (PARTITION BY iter ORDER BY community * community)::INT AS community FROM pool")
 def renumber(spark, sf):
-    return windows.renumber(pool(spark, sf).where("community % 2 = 0"), ("iter",))
+    return windows.renumber(pool(spark, sf).withColumn("community", F.col("community") * F.col("community")), ("iter",))
 
 
 @query(_RANKED + "SELECT community, id, strength, row_number() OVER (PARTITION BY community ORDER BY strength DESC, id)::INT AS place FROM ranked QUALIFY place <= 3")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rng
-from ..operators import centrality, consensus, diffusion, frames, stats, windows
+from ..operators import centrality, consensus, diffusion, frames, graph, metrics, quality, stats, windows
 from ..operators.graph import Graph
 from ..sources import bundles, graphs
 from . import inputs, search
@@ -42,14 +42,51 @@ def pagerank_k_steps(spark, sf):
     return r9(centrality.pagerank(parts(spark, sf), 0.85, 5), "score")
 
 
-@query(None)
+def _leaderrank(steps: int) -> str:
+    """PageRank with a ground node -1 that is joined to all."""
+    out = ", ga AS MATERIALIZED (SELECT src, dst FROM adj UNION ALL SELECT id, -1 FROM nodes UNION ALL SELECT -1, id FROM nodes), gd AS MATERIALIZED (SELECT src AS id, count(*) AS d FROM ga GROUP BY 1), r0 AS (SELECT id, d, 1 / ((SELECT n FROM n_all) + 1) AS s FROM gd)"
+    for i in range(steps):
+        out += f", r{i + 1} AS MATERIALIZED (SELECT t.id, t.d, 0.15 / ((SELECT n FROM n_all) + 1) + 0.85 * g.g AS s FROM gd t JOIN (SELECT a.src, sum(r.s / r.d) AS g FROM ga a JOIN r{i} r ON r.id = a.dst GROUP BY 1) g ON g.src = t.id)"
+    return out + f" SELECT id, round(s, 9) + 0.0 AS score FROM r{steps} WHERE id >= 0"
+
+
+@query(_leaderrank(10))
 def leaderrank(spark, sf):
-    return centrality.leaderrank(parts(spark, sf), steps=10)
+    return r9(centrality.leaderrank(parts(spark, sf), steps=10), "score")
 
 
-@query(None)
+def _coreness(rounds: int) -> str:
+    """Core numbers as the fixpoint of h-indices over neighbours, which starts at the degrees."""
+    out = ", h0 AS MATERIALIZED (SELECT id, degree AS c FROM strength)"
+    for i in range(rounds):
+        out += f", h{i + 1} AS MATERIALIZED (SELECT n.id, coalesce(x.c, 0) AS c FROM nodes n LEFT JOIN (SELECT src, max(least(c, k)) AS c FROM (SELECT a.src, h.c, row_number() OVER (PARTITION BY a.src ORDER BY h.c DESC) AS k FROM adj a JOIN h{i} h ON h.id = a.dst) GROUP BY 1) x ON x.src = n.id)"
+    return out + f" SELECT id, c::INT AS core FROM h{rounds}"
+
+
+@query(_coreness(16))
 def coreness(spark, sf):
-    return centrality.coreness(parts(spark, sf, 3))
+    return centrality.coreness(parts(spark, sf)).withColumn("core", F.col("core").cast("int"))
+
+
+_CENTRAL = 6
+
+
+@query(_eigen(_CENTRAL).replace(f" SELECT id, round(s / (SELECT sum(s) FROM x{_CENTRAL}), 9) + 0.0 AS score FROM x{_CENTRAL}", f", sc AS (SELECT id, round(s / (SELECT sum(s) FROM x{_CENTRAL}), 12) AS score FROM x{_CENTRAL}) SELECT community, arg_max(id, (score, -id)) AS leader FROM m JOIN sc USING (id) GROUP BY 1"))
+def derived_leaders(spark, sf):
+    return quality.central_leaders(brands(spark, sf), centrality.eigen_steps(parts(spark, sf), _CENTRAL))
+
+
+@query(""", co AS (SELECT e.src, e.dst, avg((x.community = y.community)::INT) AS co FROM edges e JOIN pool x ON x.id = e.src JOIN pool y ON y.id = e.dst AND y.iter = x.iter GROUP BY 1, 2),
+conf AS (SELECT n.id, coalesce(avg(c.co), 0) AS confidence FROM nodes n LEFT JOIN (SELECT src AS id, co FROM co UNION ALL SELECT dst, co FROM co) c USING (id) GROUP BY 1),
+other AS (SELECT community, max(id) AS leader FROM m GROUP BY 1), agree AS (SELECT count(*) AS n FROM leaders JOIN other USING (leader)), w(metric, value) AS (
+SELECT 'q_consensus_weighted', 0.25 UNION ALL SELECT 'confidence_mean', (SELECT avg(confidence) FROM conf) UNION ALL SELECT 'confidence_min', (SELECT min(confidence) FROM conf)
+UNION ALL SELECT 'leaders_agree_with_central', (SELECT n FROM agree) UNION ALL SELECT 'leaders_agree_frac', (SELECT n FROM agree) / (SELECT count(*) FROM leaders))
+SELECT metric, round(value::DOUBLE, 9) + 0.0 AS value FROM w""")
+def consensus_metrics(spark, sf):
+    g, m, lead = _lead(spark, sf)
+    other = m.groupBy("community").agg(F.max("id").alias("leader"))
+    row = metrics.consensus_row(lead, other, consensus.confidence(g, consensus.coassociation(g, pool(spark, sf))), 0.25)
+    return r9(metrics.tidy(row, "pool", "consensus").select("metric", "value"), "value")
 
 
 @query(None)
@@ -79,8 +116,7 @@ def _sample(spark, sf):
 
 
 def _two(spark, sf):
-    o = read(spark, sf, "part").where("p_partkey <= 120")
-    return o.select(F.col("p_partkey").alias("key"), F.when(F.col("p_partkey") % 3 == 0, "x").otherwise("y").alias("group"), F.round("p_retailprice", 0).alias("value"))
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.when(F.col("p_partkey") % 3 == 0, "x").otherwise("y").alias("group"), F.round("p_retailprice", 0).alias("value"))
 
 
 _KW = """s AS (SELECT p_partkey AS key, p_brand AS grp, p_size::DOUBLE AS value FROM part), r AS (SELECT *, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2 AS rk FROM s),
@@ -93,7 +129,7 @@ def kruskal_h(spark, sf):
     return stats.kruskal(_sample(spark, sf)).withColumn("h", F.round("h", 6))
 
 
-_TWO = "s AS (SELECT p_partkey AS key, CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE 'y' END AS grp, round(p_retailprice, 0) AS value FROM part WHERE p_partkey <= 120)"
+_TWO = "s AS (SELECT p_partkey AS key, CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE 'y' END AS grp, round(p_retailprice, 0) AS value FROM part)"
 
 
 @query("WITH " + _TWO + f""", c AS (SELECT count(*) FILTER (grp = 'x') AS nx, count(*) FILTER (grp = 'y') AS ny, sum(value) AS s, avg(value) FILTER (grp = 'x') - avg(value) FILTER (grp = 'y') AS diff FROM s),
@@ -107,7 +143,43 @@ def permutation_p(spark, sf):
 
 @query("SELECT i::INT AS i, round(least(1, 0.004 * i * 28)::DOUBLE, 9) AS p FROM (SELECT unnest(range(1, 29)) AS i)", None)
 def bonferroni(spark, sf):
-    return spark.range(1, 29).select(F.col("id").cast("int").alias("i"), F.round(F.least(F.lit(1.0), F.lit(0.004) * F.col("id") * 28), 9).alias("p"))
+    p = spark.range(1, 29).select(F.col("id").cast("int").alias("i"), (F.lit(0.004) * F.col("id")).alias("p"))
+    return p.select("i", F.round(stats.bonferroni("p", 28), 9).alias("p"))
+
+
+_THREE = "s AS (SELECT (p_partkey % 3)::VARCHAR AS grp, p_retailprice + 40 * (p_partkey % 3 = 2)::INT AS value FROM part)"
+
+
+def _three(spark, sf):
+    third = F.col("p_partkey") % 3
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("key"), third.cast("string").alias("group"), (F.col("p_retailprice") + 40 * (third == 2).cast("int")).alias("value"))
+
+
+@query("WITH " + _THREE + """, g AS (SELECT grp, count(*) AS n, sum(value) AS s, sum(value * value) AS q FROM s GROUP BY 1), t AS (SELECT sum(s * s / n) - sum(s) * sum(s) / sum(n) AS b, sum(q) - sum(s * s / n) AS w, count(*) - 1 AS df1, (sum(n) - count(*))::BIGINT AS df2 FROM g)
+SELECT round(b, 3) AS "between", round(w, 3) AS within, df1, df2, round((b / df1) / (w / df2), 6) AS f FROM t""", None)
+def anova(spark, sf):
+    return stats.anova(_three(spark, sf)).withColumns({"between": F.round("between", 3), "within": F.round("within", 3), "f": F.round("f", 6)})
+
+
+@query(None)
+def group_letters(spark, sf):
+    """The rank test over three groups, then all pairs by permutation, as letters."""
+    t = stats.kruskal_then_permute(_three(spark, sf), 199)
+    return spark.createDataFrame([(g, x, round(t.p, 12)) for g, x in sorted(t.letters.items())], "group string, letter string, p double")
+
+
+@query(None)
+def effects(spark, sf):
+    p = read(spark, sf, "part").select("p_size", (F.col("p_partkey") % 7).alias("rest"), "p_retailprice")
+    return stats.effect_table(p, ["p_size", "rest"], "p_retailprice").withColumns({c: F.round(c, 6) for c in ("estimate", "se", "t")})
+
+
+@query(None)
+def response_surface(spark, sf):
+    """Stationary point of a second-order surface over two factors of the parts."""
+    p = read(spark, sf, "part").select((F.col("p_size") / 25 - 1).alias("a"), ((F.col("p_partkey") % 11) / 5 - 1).alias("b"), "p_retailprice")
+    got = stats.stationary_point(p, ["a", "b"], "p_retailprice")
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in got["point"].items()], "factor string, at double")
 
 
 @query("WITH " + _TWO + """, r AS (SELECT *, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2 AS rk FROM s), t AS (SELECT sum(t * t * t - t) AS ties FROM (SELECT count(*)::DOUBLE AS t FROM s GROUP BY value)),
@@ -265,10 +337,10 @@ def manifest_update(spark, sf):
     return bundles.updated_manifest(row(n.where("n_nationkey % 2 = 0"), "1.0"), row(n, None), "2.0")
 
 
-@query("SELECT s_suppkey, n_nationkey FROM supplier, nation WHERE s_suppkey <= 8 AND (s_suppkey + n_nationkey) % 3 > 0", None)
+@query("SELECT s_suppkey, n_nationkey FROM supplier, nation WHERE (s_suppkey + n_nationkey) % 3 > 0", None)
 def resume_cells(spark, sf):
-    s, n = read(spark, sf, "supplier").where("s_suppkey <= 8").select("s_suppkey"), read(spark, sf, "nation").select("n_nationkey")
-    grid = s.crossJoin(F.broadcast(n))  # 8 x 25 cells
+    s, n = read(spark, sf, "supplier").select("s_suppkey"), read(spark, sf, "nation").select("n_nationkey")
+    grid = s.crossJoin(F.broadcast(n))  # the grid of cells is the design itself
     return bundles.undone(grid, grid.where("(s_suppkey + n_nationkey) % 3 = 0"), ["s_suppkey", "n_nationkey"])
 
 
@@ -293,30 +365,36 @@ def grasp_trajectory(spark, sf):
 
 @query(None)
 def plot_frames(spark, sf):
-    g = graphs.karate(spark)
-    m = g.nodes.select("id", F.when(F.col("id") <= 17, 1).otherwise(2).alias("community"))
-    lead = spark.createDataFrame([(1, 1), (2, 34)], "community int, leader long")
-    return frames.plot_frames(g, m, lead)[0]
+    g = graph.largest_component(parts(spark, sf))
+    m = g.nodes.select("id").join(brands(spark, sf), "id")
+    return frames.plot_frames(g, m, quality.top_degree_leaders(g, m))[0]
 
 
 # searches
 
 
+@query(None)
+def result_metrics(spark, sf):
+    """The overall table of an ensemble's result, without its running time."""
+    r = search.ensemble(parts(spark, sf), b=4, seed=3, tau=0.7)
+    return r9(r.metrics(), "value").where("metric <> 'elapsed_sec'")
+
+
 @query(None)
 def grasp_run(spark, sf):
-    r = search.grasp(graphs.karate(spark), b=10, seed=3)
+    r = search.grasp(parts(spark, sf), b=4, seed=3)
     return r.membership.withColumn("q", F.lit(round(r.q, 9)))
 
 
 @query(None)
 def reactive_run(spark, sf):
-    r = search.reactive(graphs.karate(spark), b=40, m=5, y=20, seed=3)
+    r = search.reactive(parts(spark, sf), b=16, m=4, y=8, seed=3)
     return r.membership.withColumn("q", F.lit(round(r.q, 9)))
 
 
 @query(None)
 def ensemble_run(spark, sf):
-    r = search.ensemble(graphs.karate(spark), b=16, seed=3, tau=0.7)
+    r = search.ensemble(parts(spark, sf), b=8, seed=3, tau=0.7)
     return r.membership.join(r.extra["overlap"], "id")
 
 
@@ -327,12 +405,12 @@ def louvain(spark, sf):
 
 @query(None)
 def grasp_parts(spark, sf):
-    """The batch search on the co-order graph: one start."""
+    """The batch search on the co-order graph: two starts."""
     r = search.grasp(parts(spark, sf), b=2, alpha_s=0.1, seed=3)
     return r.membership.withColumn("q", F.lit(round(r.q, 9)))
 
 
 @query(None)
 def pk_history(spark, sf):
-    r = search.reactive(graphs.karate(spark), b=10, m=4, y=5, seed=3)
+    r = search.reactive(parts(spark, sf), b=8, m=4, y=4, seed=3)
     return frames.probabilities(spark.createDataFrame(r.history, "iter int, k int, p double"))

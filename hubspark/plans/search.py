@@ -8,6 +8,7 @@ the number of partitions or a retried task changes nothing.
 
 from __future__ import annotations
 
+import secrets
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions.rng import coin, uniform_of
 from ..operators import centrality as cen
-from ..operators import consensus, quality
+from ..operators import consensus, metrics, quality
 from ..operators.graph import Graph, cut
 
 VARIANT_ROWS = "iter int, id bigint, community int, is_leader boolean, q double, h double"
@@ -33,8 +34,19 @@ def check_search(graph: Graph, b: int, alphas: tuple[float, ...], seed) -> None:
         raise ValueError("b must be a single integer of at least 1")
     if any(not 0 <= a <= 1 for a in alphas):
         raise ValueError("alpha values must be between 0 and 1")
-    if not isinstance(seed, int):
-        raise ValueError("seed must be a single integer")
+    if isinstance(seed, bool) or not isinstance(seed, int | None):
+        raise ValueError("seed must be a single integer, or None for a fresh one")
+
+
+def central_scores(graph: Graph) -> DataFrame:
+    """id, score: eigenvector centrality of a graph that a search has collected."""
+    csr = kernels.collect(graph)
+    return graph.nodes.sparkSession.createDataFrame(pd.DataFrame({"id": csr.ids, "score": kernels.central(csr, "eigen")}))
+
+
+def fresh(seed: int | None) -> int:
+    """The seed, or a new one; the result's parameters name it, so that any run can be repeated."""
+    return secrets.randbits(31) if seed is None else seed
 
 
 @dataclass(frozen=True)
@@ -54,6 +66,27 @@ class Result:
     history: pd.DataFrame | None = None
     extra: dict = field(default_factory=dict)
 
+    def metrics(self, level: str = "overall", truth: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
+        """The metric table of a level: ``overall``, ``community`` or ``leader``."""
+        if level == "community":
+            return metrics.community_table(self.graph, self.membership, self.leaders, truth)
+        if level == "leader":
+            central = central_scores(self.graph)
+            return metrics.leader_table(self.graph, self.membership, self.leaders, scores, central)
+        if level != "overall":
+            raise ValueError("level must be overall, community or leader")
+        spark = self.graph.nodes.sparkSession
+        trace = spark.createDataFrame(self.trace[["iter", "q", "h"]].astype({"iter": "int64"}), "iter long, q double, h double")
+        ran = {"best_iter": self.best_iter, "elapsed_sec": self.elapsed}
+        if self.method == "reactive":
+            decided = len(self.extra["h_decided"])
+            ran |= {"lex_decisive_n": decided, "lex_decisive_pct": 100 * decided / len(self.trace)}
+        pool = None
+        if self.method == "ensemble":
+            central = quality.central_leaders(self.membership, central_scores(self.graph))
+            pool = metrics.consensus_row(self.leaders, central, self.extra["confidence"], self.extra["q_weighted"], self.extra.get("overlap"))
+        return metrics.overall_table(self.graph, self.membership, self.leaders, self.method, truth, scores, trace, pool, ran)
+
     def __repr__(self) -> str:
         return f"<{self.method}: Q {self.q:.4f}, H {self.h:.4f}, {len(self.trace)} iterations, best {self.best_iter}>"
 
@@ -104,6 +137,7 @@ def _traced(rows: DataFrame) -> pd.DataFrame:
 def grasp(graph: Graph, b: int = 50, alpha_c: float = 0.1, alpha_s: float = 0.3, variant: int = 1, centrality: str = "eigen", sim: str = "hpi", seed: int = 1, guard: bool = False) -> Result:
     """Fixed parameters: ``b`` starts, the best by modularity, then by leader entropy."""
     check_search(graph, b, (alpha_c, alpha_s), seed)
+    seed = fresh(seed)
     cen.by_name(centrality)
     spark = graph.nodes.sparkSession
     csr = kernels.collect(graph)
@@ -121,6 +155,7 @@ def reactive(graph: Graph, b: int = 150, m: int = 20, y: int | None = None, alph
     such block is one job.
     """
     check_search(graph, b, (*alpha_c, *alpha_s, floor), seed)
+    seed = fresh(seed)
     if alpha_c[0] > alpha_c[1] or alpha_s[0] > alpha_s[1]:
         raise ValueError("alpha ranges must be ordered")
     y = y or 3 * m
@@ -151,6 +186,7 @@ def reactive(graph: Graph, b: int = 150, m: int = 20, y: int | None = None, alph
 def ensemble(graph: Graph, b: int = 64, w_min: float = 0.05, alpha_c: tuple[float, float] = (0.1, 0.9), alpha_s: tuple[float, float] = (0.1, 0.5), variant: int = 1, centrality: str = "eigen", sim: str = "hpi", tau: float | None = None, seed: int = 1) -> Result:
     """Consensus of ``b`` starts with fresh parameters each: edges weigh what the pool agrees on, and are clustered anew."""
     check_search(graph, b, (*alpha_c, *alpha_s, w_min), seed)
+    seed = fresh(seed)
     spark = graph.nodes.sparkSession
     csr = kernels.collect(graph)
     began = time.time()
@@ -163,7 +199,7 @@ def ensemble(graph: Graph, b: int = 64, w_min: float = 0.05, alpha_c: tuple[floa
     weighted = cut(consensus.reweighted(graph, co, cen.two_core_edges(graph), w_min))
     m = cut(louvain(Graph(graph.nodes, weighted)))
     counts = consensus.lead_counts(rows.where("is_leader").select("iter", F.col("id").alias("leader")), b)
-    ev = spark.createDataFrame(pd.DataFrame({"id": csr.ids, "score": kernels.central(csr, "eigen")}))
+    ev = central_scores(graph)
     lead = cut(consensus.consensus_leaders(m, counts, ev))
     q = quality.modularity(graph, m).first()["q"]
     h = quality.entropy_global(graph, lead).first()["h"]
@@ -194,7 +230,7 @@ def sample_nodes(graph: Graph, seed: int, n: int) -> DataFrame:
 
 def proposals(graph: Graph, m: DataFrame, sample: DataFrame, eps: float = 1e-4) -> DataFrame:
     """(id, community, gain): best move of each sampled node that gains over ``eps``; least community on ties."""
-    g = quality.gains(graph, m).join(sample.select("id"), "id", "left_semi").withColumn("gain", F.round("gain", 9))
+    g = quality.gains(graph, m, sample).withColumn("gain", F.round("gain", 9))
     best = g.groupBy("id").agg(F.max_by("target", F.struct("gain", -F.col("target"))).alias("community"), F.max("gain").alias("gain"))
     return best.where(F.col("gain") > eps)
 

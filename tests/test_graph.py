@@ -248,3 +248,44 @@ def test_greedy_seeds_come_from_all_nodes(spark, sf_dir, monkeypatch):
     queries_more.QUERIES["greedy_im"](spark, sf_dir)
     ((candidates, g),) = pools
     assert {r["id"] for r in candidates.collect()} == {r["id"] for r in g.nodes.select("id").collect()}
+
+
+def test_metrics_of_results(spark, karate):
+    tables = {}
+    for method, how in (("grasp", {"b": 3}), ("reactive", {"b": 6, "m": 3, "y": 3}), ("ensemble", {"b": 6, "tau": 0.7})):
+        r = search.detect(karate, method, seed=2, **how)
+        tables[method] = {(x["scope"], x["metric"]): x["value"] for x in r.metrics().collect()}
+        lead = r.metrics("leader").collect()
+        assert all(0 < x["eigen_centrality"] <= 1 for x in lead)
+        assert len(lead) == tables[method]["leaders", "n_leaders"]
+        assert abs(sum(x["q_contribution"] for x in r.metrics("community").collect()) - r.q) < 1e-9
+    assert "lex_decisive_n" in {m for _, m in tables["reactive"]}
+    assert not {m for _, m in tables["grasp"]} & {"lex_decisive_n", "confidence_mean"}
+    pool = {m: v for (s, m), v in tables["ensemble"].items() if s == "consensus"}
+    assert set(pool) == {"q_consensus_weighted", "confidence_mean", "confidence_min", "leaders_agree_with_central", "leaders_agree_frac", "overlap_nodes", "overlap_frac"}
+    assert 0 <= pool["leaders_agree_frac"] <= 1
+    with pytest.raises(ValueError, match="level"):
+        r.metrics("nodes")
+
+
+def test_seeds(spark, karate):
+    a = search.grasp(karate, b=2, seed=None)
+    b = search.grasp(karate, b=2, seed=a.params["seed"])
+    assert a.q == b.q
+    assert {tuple(r) for r in a.membership.collect()} == {tuple(r) for r in b.membership.collect()}
+    for bad in ("1", 1.5, True):
+        with pytest.raises(ValueError, match="single integer"):
+            search.grasp(karate, b=2, seed=bad)
+
+
+def test_variance_tables(spark):
+    df = spark.createDataFrame([(i, "abc"[i % 3], float(i % 3 * 2 + i % 2)) for i in range(30)], "key long, group string, value double")
+    row = stats.anova(df).first()
+    assert (row["df1"], row["df2"]) == (2, 27)
+    assert row["between"] == pytest.approx(80)
+    assert row["within"] == pytest.approx(7.5)
+    assert stats.anova(df.withColumn("value", stats.F.lit(1.0))).first()["f"] is None
+    terms = [r["term"] for r in stats.effect_table(df.withColumn("x", df.key % 3), ["x"], "value").collect()]
+    assert terms == ["x", "intercept"]
+    with pytest.raises(ValueError, match="52"):
+        stats.kruskal_then_permute(spark.range(60).selectExpr("id as key", "cast(id as string) as group", "1.0D as value"))
