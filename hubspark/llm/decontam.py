@@ -55,11 +55,12 @@ def _probes(fp: Column, bits: int) -> tuple[Column, Column]:
 
 
 def fingerprint_map(fps: DataFrame, bits: int) -> DataFrame:
-    """One row: ``_map``, an array of bits / 64 numbers in which both probes of each fingerprint are set."""
+    """One row: ``_map``, an array of bits / 64 numbers in which both probes of each fingerprint are set, and ``_key`` 0."""
     places = fps.select(F.explode(F.array(*_probes(F.col("fp"), bits))).alias("at"))
     set_ = places.groupBy(F.shiftright("at", 6).alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at").bitwiseAND(63).cast("int"))).alias("v"))
     slots = fps.sparkSession.range(bits // 64).join(set_, F.col("id") == F.col("slot"), "left").select("id", F.coalesce("v", F.lit(0).cast("bigint")).alias("v"))
-    return slots.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda s: s["v"]).alias("_map"))  # at most MAP_BITS / 64 rows
+    # at most MAP_BITS / 64 rows; the key 0 is computed, so that a join by it stays an equi-join
+    return slots.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda s: s["v"]).alias("_map"), F.min("id").alias("_key"))
 
 
 def _in_map(fp: Column, bits: int) -> Column:
@@ -112,8 +113,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     hint = F.broadcast if sum(r["n"] for r in seen) <= BROADCAST_ROWS else (lambda df: df)
     n_windows = sum(r["n"] for r in seen)
     bits = 1 << min(MAP_BITS.bit_length() - 1, max(10, (MAP_SHARE * n_windows).bit_length()))
-    marks = fingerprint_map(targets.select("fp").distinct(), bits).withColumn("_key", F.lit(0).cast("bigint"))
-    # every row meets the one row of the map; the key is computed, so that the join stays an equi-join
+    marks = fingerprint_map(targets.select("fp").distinct(), bits)  # one row, which every document meets
     base = docs.select("doc_id", "text", F.xxhash64("text").alias("_t")).withColumn("_key", F.pmod(F.col("_t"), F.lit(1).cast("bigint")))
     base = base.join(F.broadcast(marks), "_key")
     state = let(item_words(F.col("text")), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), _near(w, short, window, gram, bits).alias("near")))
