@@ -22,7 +22,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -218,16 +218,21 @@ def _linked(batches: Iterator[pa.RecordBatch], need: int) -> Iterator[pa.RecordB
         yield out
 
 
+def _spread(members: Column, block: int) -> Column:
+    """Number of copies of what all sets of a cluster meet: one for each ``block`` of them, so that none is a hot key."""
+    return F.ceil(members / F.lit(block)).cast("int")
+
+
 def _pivot_links(sets: DataFrame, cells: DataFrame, need: int, block: int, kind: str) -> DataFrame:
     """(a, b): the members of large clusters that are linked with their cluster's pivot, and the pivot.
 
     The pivot is a fixed member of the size class with the most sets; its
     copies, one for each ``block`` members, spread a cluster over tasks.
     """
-    best = cells.groupBy(F.col("cluster").alias("of")).agg(F.max_by("bin", F.struct("n", "bin")).alias("pivot_bin"), F.max_by("least", F.struct("n", "bin")).alias("pivot"), F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("copies"))
+    best = cells.groupBy(F.col("cluster").alias("of")).agg(F.max_by("bin", F.struct("n", "bin")).alias("pivot_bin"), F.max_by("least", F.struct("n", "bin")).alias("pivot"), _spread(F.sum("n"), block).alias("copies"))
     pivots = sets.select("id", F.col("set").alias("pivot_set")).join(best, F.col("id") == F.col("pivot")).drop("id")
     spread = pivots.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("of", "pivot", "pivot_bin", "pivot_set", "copy")
-    members = sets.join(best.select("of", "copies"), F.col("cluster") == F.col("of")).select("id", "cluster", "bin", "set", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int").alias("mine"))
+    members = sets.where(F.col("members") > block).select("id", "cluster", "bin", "set", F.pmod(F.xxhash64("id"), _spread(F.col("members"), block)).cast("int").alias("mine"))
     pairs = members.join(spread, (F.col("cluster") == F.col("of")) & (F.col("mine") == F.col("copy")) & (F.col("id") != F.col("pivot")))
     pairs = pairs.where(F.abs(F.col("bin") - F.col("pivot_bin")) <= 1).select("id", "pivot", "set", "pivot_set")
     return pairs.mapInArrow(lambda it: _near_pivot(it, need), f"a {kind}, b {kind}")
@@ -240,11 +245,13 @@ def _dealt(sets: DataFrame, block: int) -> DataFrame:
     pivot; it has a block for each ``block`` sets. Blocks of two cells meet if
     the classes are neighbours and not both are near the pivot.
     """
-    cells = sets.groupBy("cluster", "bin", "near").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).withColumn("cell", F.col("bin") * 2 + F.col("near").cast("int"))
+    cells = sets.groupBy("cluster", "bin", "near").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"), _spread(F.max("members"), block).alias("copies")).withColumn("cell", F.col("bin") * 2 + F.col("near").cast("int"))
     other = cells.select(F.col("cluster").alias("_c"), F.col("bin").alias("_b"), F.col("near").alias("_n"), F.struct("cell", "blocks").alias("to"))
     meet = cells.join(other, (F.col("cluster") == F.col("_c")) & (F.abs(F.col("bin") - F.col("_b")) <= 1) & ~(F.col("near") & F.col("_n")))
-    plan = meet.groupBy(F.col("cluster").alias("_c"), F.col("bin").alias("_b"), F.col("near").alias("_n"), "cell", "blocks").agg(F.collect_list("to").alias("to"))
-    at = sets.join(plan, (F.col("cluster") == F.col("_c")) & (F.col("bin") == F.col("_b")) & (F.col("near") == F.col("_n")))
+    plan = meet.groupBy(F.col("cluster").alias("_c"), F.col("bin").alias("_b"), F.col("near").alias("_n"), "cell", "blocks", "copies").agg(F.collect_list("to").alias("to"))
+    plan = plan.withColumn("_m", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    mine = F.pmod(F.xxhash64(F.lit("copy"), F.col("id")), _spread(F.col("members"), block)).cast("int")
+    at = sets.withColumn("mine", mine).join(plan, (F.col("cluster") == F.col("_c")) & (F.col("bin") == F.col("_b")) & (F.col("near") == F.col("_n")) & (F.col("mine") == F.col("_m")))
     at = at.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("to", F.explode("to")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("to.blocks") - 1)))
     mine, its = F.struct("cell", "own"), F.struct("to.cell", F.col("block").alias("own"))
     side = F.when(mine == its, 2).when(mine < its, 0).otherwise(1)
