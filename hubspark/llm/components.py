@@ -26,8 +26,11 @@ def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
         both = edges
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
     hubs = least.where(F.col("n") > max(HUB_DEGREE, n_edges // HUBS)).select("u", F.col("m").alias("hm"))
-    marked = both.join(F.broadcast(hubs), "u", "left")
-    joined = marked.where("hm is null").drop("hm").join(least.select("u", "m"), "u").unionByName(marked.where("hm is not null").withColumnRenamed("hm", "m"))
+    if n_edges > HUB_DEGREE and hubs.limit(1).count():
+        marked = both.join(F.broadcast(hubs), "u", "left")
+        joined = marked.where("hm is null").drop("hm").join(least.select("u", "m"), "u").unionByName(marked.where("hm is not null").withColumnRenamed("hm", "m"))
+    else:
+        joined = both.join(least.select("u", "m"), "u")
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
