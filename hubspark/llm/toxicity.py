@@ -417,12 +417,21 @@ def score_texts(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, bound: int = MAX_TRAIN):
     """The model as a broadcast variable; its size is bounded by the sample's and the trigram alphabet's."""
-    sample = labelled_texts(docs, labels, "toxic", folds, held_out, bound)
-    model = train(sample.column("text").combine_chunks(), sample.column("label").to_numpy(), corpus_spelling(docs))
+    chars = corpus_spelling(docs)  # before the sample comes, so that the driver holds one of both at a time
+    model = train(*_sample(docs, labels, folds, held_out, bound), chars)
     model.chars.known.clear()
+    pa.default_memory_pool().release_unused()
     return docs.sparkSession.sparkContext.broadcast(model)
 
 
+def _sample(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, bound: int) -> tuple[pa.Array, np.ndarray]:
+    """Texts and labels of the sample without near copies, so that the rest is free when training starts."""
+    sample = labelled_texts(docs, labels, "toxic", folds, held_out, bound)
+    texts, label = sample.column("text").combine_chunks(), sample.column("label").to_numpy()
+    rows = unlike(texts, label == 1)
+    return texts.take(pa.array(rows)), label[rows]
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.7, bound: int = MAX_TRAIN) -> DataFrame:
     """Per row: doc_id, held_out, score (0 to 1, higher: toxic likelier), predicted and n_telling (distinct words with evidence).
 
