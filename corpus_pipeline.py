@@ -1,4 +1,9 @@
-"""A corpus pipeline of five operators, each reading what the one before wrote."""
+"""A corpus pipeline of five operators, each reading what the one before wrote.
+
+Null and empty texts fail the quality rules' base part and go; rows without
+doc_id take no part in near-dedup and stay; repeated rows of a doc_id leave one;
+extra columns go through to the last stage; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
