@@ -142,19 +142,23 @@ def disguised(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, str]]
         return
     letter, latin, sign, space = _LETTER[data], _LATIN[data], _SIGN[data], _SPACE[data]
     spots = np.zeros(n, dtype=bool)
+    # whether a byte and the next are of one text: what a text's neighbours hold must not matter
+    same = np.ones(n - 1, dtype=bool)
+    inner = bounds[1:-1]
+    same[inner[(inner > 0) & (inner < n)] - 1] = False
     # a sign or digit before a letter, or a single one that ends a token after a letter
-    spots[:-1] |= sign[:-1] & letter[1:]
+    spots[:-1] |= sign[:-1] & letter[1:] & same
     ends = np.ones(n, dtype=bool)
-    ends[:-1] = space[1:]
+    ends[:-1] = space[1:] | ~same
     digit = ((data >= 48) & (data <= 57)) | (data == 36) | (data == 64)
-    spots[1:] |= digit[1:] & letter[:-1] & ends[1:]
+    spots[1:] |= digit[1:] & letter[:-1] & same & ends[1:]
     # a letter drawn out to three or more
-    spots[2:] |= latin[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
+    spots[2:] |= latin[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & same[1:] & same[:-1]
     # letters (or signs) one by one between separators
     if n >= 5:
         one, sep = latin | sign, _APART[data]
         before = np.ones(n, dtype=bool)
-        before[1:] = ~(letter[:-1] | sign[:-1])
+        before[1:] = ~(letter[:-1] | sign[:-1]) | ~same
         row = one[:-4] & sep[1:-3] & one[2:-2] & sep[3:-1] & one[4:] & before[:-4]
         apart = np.flatnonzero(row)
     else:

@@ -103,3 +103,15 @@ def test_spelling_is_learned_from_all_documents(spark):
         assert chars.grams[2]["qlz"] == pytest.approx(2**0.5, abs=1e-3)
         assert toxicity.restore("q1zuv0", chars) == "qlzuvo"
         assert toxicity.restore("br1xq0t", chars) == "brixqot"
+
+
+def test_neighbours_do_not_matter():
+    m, word = model()
+    rnd = random.Random(5)
+    ends = ["!", "a", "1", "xx", "s.", "9", "$", " ", "", "st", "@"]
+    starts = ["s.t.u.p.i.d", "1d1ot", "idiot", "xxx", "s t u p i d", "0", "", ".t.u", "b", "moron1"]
+    texts = [f"{rnd.choice(starts)} {word()} {word()}{rnd.choice(ends)}" if rnd.random() < 0.8 else rnd.choice(starts + ends) for _ in range(600)]
+    together = toxicity.score_texts(pa.array(texts), m)
+    alone = [toxicity.score_texts(pa.array([t]), m) for t in texts]
+    assert together[0].tolist() == [s[0] for s, _ in alone]
+    assert together[1].tolist() == [t[0] for _, t in alone]
