@@ -25,6 +25,8 @@ from .samples import labelled_texts, remainder
 
 #: Labelled rows used for training: the documented bound.
 MAX_TRAIN = 8000
+#: Bytes of texts the driver looks at in one pass while it trains.
+TRAIN_SLICE = 1 << 18
 #: Lengths in bytes of the word beginnings that share evidence.
 STEMS = (3, 4, 5, 6, 8)
 #: Weight of the shorter beginning's evidence, least evidence that counts, and what a word without evidence takes off.
@@ -323,7 +325,7 @@ def unlike(texts: pa.Array, label: np.ndarray) -> np.ndarray:
     Texts with the same least hash of three-word runs count as near copies.
     """
     least = np.zeros(len(texts), dtype=U)
-    for a, b, data, bounds in slices(texts):
+    for a, b, data, bounds in slices(texts, TRAIN_SLICE):
         data = lower(data)
         start, end, first = word_bounds(data, bounds, SEPARATOR)
         values, at = shingles(word_hashes(data, start, end), first, 3)
@@ -344,7 +346,7 @@ def train(texts: pa.Array, label: np.ndarray, chars: CharModel | None = None) ->
     texts, label = texts.take(pa.array(rows)), label[rows]
     chars = spelling_of(texts) if chars is None else chars
     seen = Evidence()
-    for a, b, data, bounds in slices(texts):
+    for a, b, data, bounds in slices(texts, TRAIN_SLICE):
         data = lower(data)
         start, end, first = word_bounds(data, bounds, SEPARATOR)
         parts, owner = [stem_hashes(data, start, end)], [np.repeat(np.arange(b - a), np.diff(first))]
