@@ -3,7 +3,8 @@
 A slice of a column is one byte array with the texts' bounds; every step is a
 numpy pass over it, so no Python code runs for single words. Slices are cut at
 text bounds when they reach ``SLICE`` bytes; only a text that is itself longer
-makes a longer one.
+makes a longer one. A worker's peak is up to about 150 times the slice, so it
+is kept small.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 U = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
