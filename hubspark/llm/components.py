@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .textops import cut
@@ -12,21 +12,31 @@ from .textops import cut
 HUB_DEGREE, HUBS = 100, 512
 
 
-def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _mark(edges: DataFrame) -> Row:
+    """n edges, the greatest degree and whether a node is no star's centre or has not one centre alone, in one job."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    per = ends.groupBy("x").agg(F.count("*").alias("n"), F.sum("up").alias("up"))
+    loose = (F.col("up") > 1) | ((F.col("up") == 1) & (F.col("n") > 1))
+    return per.agg(F.coalesce(F.sum("up"), F.lit(0)).alias("n"), F.max("n").alias("degree"), F.coalesce(F.bool_or(loose), F.lit(False)).alias("loose")).first()
+
+
+def _star(edges: DataFrame, large: bool, hub: int | None) -> DataFrame:
     """One step over edges (u, v), u > v.
 
     large: each node hands its least neighbour to its larger neighbours;
     small: to its smaller ones and itself. The least neighbour comes from a
-    group-by (combined before the shuffle); the few hubs' ones are broadcast,
-    so that a hub does not gather its edges in one task.
+    group-by (combined before the shuffle). hub: the degree beyond which nodes
+    are hubs, None if there are none; the few hubs' least neighbours are
+    broadcast, so that a hub does not gather its edges in one task.
     """
-    if large:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = edges
+    both = _both(edges) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    hubs = least.where(F.col("n") > max(HUB_DEGREE, n_edges // HUBS)).select("u", F.col("m").alias("hm"))
-    if n_edges > HUB_DEGREE and hubs.limit(1).count():
+    if hub is not None:
+        hubs = least.where(F.col("n") > hub).select("u", F.col("m").alias("hm"))
         marked = both.join(F.broadcast(hubs), "u", "left")
         joined = marked.where("hm is null").drop("hm").join(least.select("u", "m"), "u").unionByName(marked.where("hm is not null").withColumnRenamed("hm", "m"))
     else:
@@ -43,16 +53,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Rows with a null end and loops are ignored, repeated edges count once.
     Nodes without an edge do not appear. Each round is checkpointed; the end is
-    reached when a round leaves count and checksum of the edge set unchanged.
+    reached when each node with a smaller neighbour has one alone and no larger
+    one: stars around their least nodes.
     """
     both_known = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     e = both_known.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = cut(e)
-    seen = None
-    while True:
-        mark = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark["n"] == 0 or (mark["n"], mark["s"]) == seen:
-            break
-        seen = (mark["n"], mark["s"])
-        e = cut(_star(_star(e, True, mark["n"]), False, mark["n"]))
+    while (mark := _mark(e))["loose"]:
+        # a large step leaves no more edges, and no node more smaller neighbours, than there were: one look serves both
+        hub = max(HUB_DEGREE, mark["n"] // HUBS)
+        hub = hub if mark["degree"] > hub else None
+        e = cut(_star(_star(e, True, hub), False, hub))
     return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -8,7 +8,7 @@ bucket are candidates, and their full shingle sets decide.
 No bucket is turned into pairs. Texts with equal sets are one representative;
 buckets are joined to clusters by stars (member, least member). A small
 cluster's sets meet in one task, where one matrix product counts all
-intersections and only a spanning forest of the links leaves the task. In a
+intersections and only a star (member, least member) for each linked class leaves the task. In a
 large cluster all sets are first held against one of them, the pivot; those
 linked to it need not meet each other. The rest is dealt by size: linked sets
 differ in size by less than the similarity allows, so only blocks of the same
@@ -101,23 +101,14 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, functions: int, width: in
 MAP_BITS = 27
 
 
-def _marks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Hashes -> bytes of a bit map that are not 0."""
-    for batch in batches:
-        at = np.unique(batch.column(0).to_numpy().view(U) >> U(64 - bits)).astype(np.int64)
-        place, start = np.unique(at >> 3, return_index=True)
-        if len(place):
-            value = np.bitwise_or.reduceat((1 << (at & 7)).astype(np.uint8), start)
-            yield pa.RecordBatch.from_arrays([pa.array([place.astype(np.uint32).tobytes()], pa.binary()), pa.array([value.tobytes()], pa.binary())], names=["place", "value"])
-
-
-def bit_map(hashes: DataFrame, n: int) -> np.ndarray:
-    """Map over the leading bits of about n 64-bit hashes (the one column), of a bounded size."""
+def bit_map(hashes: Column, rows: DataFrame, n: int) -> np.ndarray:
+    """Map over the leading bits of about n 64-bit hashes; its words are put together before they reach the driver, 2 ** (MAP_BITS - 6) at most."""
     bits = min(MAP_BITS, max(10, n.bit_length() + 4))
-    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    for row in hashes.mapInArrow(lambda it: _marks(it, bits), "place binary, value binary").toLocalIterator():
-        out[np.frombuffer(row["place"], dtype=np.uint32)] |= np.frombuffer(row["value"], dtype=np.uint8)
-    return out
+    at = F.shiftrightunsigned(hashes, 64 - bits)
+    words = rows.select(F.shiftright(at, 6).alias("place"), (at % 64).cast("int").alias("bit")).groupBy("place").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("word")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype="<i8")
+    out[words.column("place").to_numpy()] = words.column("word").to_numpy()
+    return out.view(np.uint8)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -145,7 +136,7 @@ def _near_pivot(batches: Iterator[pa.RecordBatch], need: int) -> Iterator[pa.Rec
 
 
 def block_links(ids: list, sets: list[np.ndarray], side: np.ndarray, need: int, near: np.ndarray | None = None) -> list[tuple]:
-    """A spanning forest of the pairs with 100 * intersection >= need * union.
+    """(member, least member) of each class of the pairs with 100 * intersection >= need * union; the least comes first in ``ids``.
 
     side: 0 and 1 for the two blocks that meet, 2 for all where a block meets
     itself. Pairs within one of two sides are another task's. near: sets that
@@ -178,7 +169,6 @@ def block_links(ids: list, sets: list[np.ndarray], side: np.ndarray, need: int,
             parent[x] = x = parent[parent[x]]
         return x
 
-    out = []
     for i in range(m):
         both = shared[i, i + 1 :].astype(np.int64)
         ok = 100 * both >= need * (sizes[i] + sizes[i + 1 :] - both)
@@ -190,8 +180,7 @@ def block_links(ids: list, sets: list[np.ndarray], side: np.ndarray, need: int,
             x, y = find(i), find(j)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-                out.append((ids[i], ids[j]))
-    return out
+    return [(ids[i], ids[find(i)]) for i in range(m) if find(i) != i]
 
 
 def _linked(batches: Iterator[pa.RecordBatch], need: int) -> Iterator[pa.RecordBatch]:
@@ -286,7 +275,7 @@ def near_duplicates(docs: DataFrame, need: int = 85, k: int = SHINGLE, functions
         members = reps.select("rep", "s1", "s2", "n_shingles").join(clusters, F.col("rep") == F.col("id")).join(sizes, "component")
         bin_ = F.when(F.col("members") > block, F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(log(100 / need) + 1e-9)).cast("int")).otherwise(0)
         members = cut(members.select("rep", F.col("component").alias("cluster"), "s1", "s2", "members", bin_.alias("bin")))
-        wanted = spark.sparkContext.broadcast(bit_map(members.select(F.xxhash64("rep")), members.count()))
+        wanted = spark.sparkContext.broadcast(bit_map(F.xxhash64("rep"), members, members.count()))
         sets = docs.select("doc_id", F.xxhash64("doc_id"), "text").where("doc_id is not null").mapInArrow(lambda it: _sets(it, k, wanted.value), f"id {kind}, t1 bigint, t2 bigint, set binary")
         sets = sets.join(members, (F.col("id") == F.col("rep")) & (F.col("t1") == F.col("s1")) & (F.col("t2") == F.col("s2"))).select("id", "cluster", "bin", "members", "set")
         cells = members.where(F.col("members") > block).groupBy("cluster", "bin").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep")).alias("least"))
