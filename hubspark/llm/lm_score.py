@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, U, constants, mix, slices, word_bounds, word_hashes
+from .kernels import LOWER, SLICE, U, constants, mix, slices, word_bounds, word_hashes
 from .samples import remainder
 from .textops import cut, shuffles_once
 
@@ -99,7 +99,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Record
         )
 
     for batch in batches:
-        for a, b, data, bounds in slices(batch.column(2), block):
+        for a, b, data, bounds in slices(batch.column(2), min(block, SLICE)):
             if parts and size + len(data) > block:
                 yield done()
                 number, parts, size = number + 1, [], 0
